@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality
+from . import embedding_dedup, line_dedup, lm_scoring, minhash, mixing, packing, quality, token_files, toxicity
+from .common import public_id, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,16 +21,45 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(_table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = toxicity.held_out(F.col("doc_id"))
+    scores = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").filter(~held_out))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = minhash.near_groups(_table(spark, sf_dir, "documents"))
+    return groups.select(public_id(), public_id("class_id"), "kept")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.read_tokens(spark, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op4_quality_rules, op9_mixing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op3_toxicity, op4_quality_rules, op5_embedding_dedup, op6_packing, op7_minhash, op9_mixing, op10_token_files)}
 
 
 #: SQL for the whole tables, where it can say the same.
