@@ -148,7 +148,7 @@ def _verify(similarity: float):
     def run(pairs: pa.Table, hubs: pa.Table) -> pa.Table:
         a, b = [], []
         if pairs.num_rows and hubs.num_rows:
-            hub, first = hubs["hub"][0].as_py(), hubs["text"][0].as_py().encode().split()
+            hub, first = hubs["first"][0].as_py(), hubs["first_text"][0].as_py().encode().split()
             for node, text in zip(pairs["node"].to_pylist(), pairs["text"].to_pylist()):
                 words = text.encode().split()
                 most = int((1 - similarity) * max(len(words), len(first)) + 1e-9)
@@ -169,7 +169,8 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: floa
     pieces = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("pieces"))
     dealt = pairs.join(pieces, "hub").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).join(texts, "node").select("hub", "piece", "node", "text")
     hubs = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", "piece", "text")
-    return dealt.groupBy("hub", "piece").cogroup(hubs.groupBy("hub", "piece")).applyInArrow(_verify(similarity), "a long, b long")
+    hubs = hubs.select(F.col("hub").alias("first"), F.col("piece").alias("first_piece"), F.col("text").alias("first_text"))
+    return dealt.groupBy("hub", "piece").cogroup(hubs.groupBy("first", "first_piece")).applyInArrow(_verify(similarity), "a long, b long")
 
 
 def near_groups(df: DataFrame, similarity: float = 0.8, k: int = 5, sketches: int = 24, minima: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

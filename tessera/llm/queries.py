@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, lm_scoring, minhash, mixing, packing, quality, token_files, toxicity
+from . import embedding_dedup, line_dedup, lm_scoring, minhash, mixing, packing, quality, suffix_dedup, token_files, toxicity
 from .common import public_id, scratch
 
 
@@ -40,6 +40,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(public_id(), public_id("class_id"), "kept")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_digests(_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
@@ -59,7 +63,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op3_toxicity, op4_quality_rules, op5_embedding_dedup, op6_packing, op7_minhash, op9_mixing, op10_token_files)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op3_toxicity, op4_quality_rules, op5_embedding_dedup, op6_packing, op7_minhash, op8_suffix_dedup, op9_mixing, op10_token_files)}
 
 
 #: SQL for the whole tables, where it can say the same.
