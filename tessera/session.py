@@ -29,3 +29,16 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(path))
         _shipped.add(sc.applicationId)
     return spark
+
+
+def local_session(cpus: str = "*") -> SparkSession:
+    """The active session, or a local one for the command lines."""
+    return (
+        SparkSession.builder.master(f"local[{cpus}]")
+        .appName("tessera")
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.session.timeZone", "UTC")
+        .getOrCreate()
+    )
