@@ -49,6 +49,15 @@ class Val:
     const: tuple | None = None
     #: The timestamp that a TEXT shows.
     time: SparkColumn | None = None
+    #: A column of a frame or a constant: what may stand several times in a plan.
+    leaf: bool = False
+
+
+def let(x: Val, f) -> SparkColumn:
+    """f of a value's column, which stands in the plan once however often f uses it."""
+    if x.leaf:
+        return f(x.col)
+    return F.element_at(F.transform(F.array(x.col), lambda y: f(y)), 1)
 
 
 def null_of(kind: str) -> SparkColumn:
@@ -57,12 +66,12 @@ def null_of(kind: str) -> SparkColumn:
 
 def constant(x: Any) -> Val:
     if x is None:
-        return Val(null_of("string"), NULL, const=(None,))
+        return Val(null_of("string"), NULL, const=(None,), leaf=True)
     if isinstance(x, int):
-        return Val(F.lit(x).cast("int" if abs(x) < 2**31 else "bigint"), INT, x, x, const=(x,))
+        return Val(F.lit(x).cast("int" if abs(x) < 2**31 else "bigint"), INT, x, x, const=(x,), leaf=True)
     if isinstance(x, float):
-        return Val(F.lit(x).cast("double"), REAL, const=(x,))
-    return Val(F.lit(x) if isinstance(x, str) else F.lit(bytearray(x)), TEXT if isinstance(x, str) else BLOB, const=(x,))
+        return Val(F.lit(x).cast("double"), REAL, const=(x,), leaf=True)
+    return Val(F.lit(x) if isinstance(x, str) else F.lit(bytearray(x)), TEXT if isinstance(x, str) else BLOB, const=(x,), leaf=True)
 
 
 def boolean(pred: SparkColumn) -> Val:
@@ -71,6 +80,12 @@ def boolean(pred: SparkColumn) -> Val:
 
 def column_of(field_: T.StructField, col: SparkColumn, aff: str | None = None) -> Val:
     """A table's column by its Spark type."""
+    out = _column_of(field_, col, aff)
+    out.leaf = True
+    return out
+
+
+def _column_of(field_: T.StructField, col: SparkColumn, aff: str | None) -> Val:
     t = field_.dataType
     if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         bits = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}[type(t)]
@@ -107,7 +122,7 @@ def dyn(x: Val) -> SparkColumn:
         return x.col
     if x.cls == NULL:
         return null_of(DYN_TYPE.simpleString())
-    return F.when(x.col.isNotNull(), _struct(x.cls, x.col))
+    return let(x, lambda col: F.when(col.isNotNull(), _struct(x.cls, col)))
 
 
 def _struct(cls: str, col: SparkColumn) -> SparkColumn:
@@ -141,13 +156,15 @@ def sort_key(x: Val) -> SparkColumn:
 
     if x.cls == NULL:
         return F.when(F.lit(False), of_text(F.lit("")))
-    if x.cls == DYN:
-        c = x.col
+    def of_dyn(c):
         i, r = F.coalesce(c["i"], F.lit(0).cast("bigint")), F.coalesce(c["r"], F.lit(0.0))
         out = F.when(c["cls"] == 1, of_int(i)).when(c["cls"] == 2, of_real(r))
         return out.when(c["cls"] == 3, of_text(F.coalesce(c["t"], no_t))).when(c["cls"] == 4, of_blob(F.coalesce(c["b"], no_b)))
+
+    if x.cls == DYN:
+        return let(x, of_dyn)
     make = {INT: of_int, REAL: of_real, TEXT: of_text, BLOB: of_blob}[x.cls]
-    return F.when(x.col.isNotNull(), make(x.col))
+    return let(x, lambda col: F.when(col.isNotNull(), make(col)))
 
 
 def plain(x: Val) -> SparkColumn:
@@ -159,14 +176,22 @@ def group_key(x: Val) -> SparkColumn:
     return sort_key(x) if x.cls == DYN else x.col
 
 
-@F.arrow_udf(T.StringType())
-def _real_text(x: pa.Array) -> pa.Array:
-    return pa.array([None if r is None else v.real_text(r) for r in x.to_pylist()], pa.string())
+def _real_text(x: SparkColumn) -> SparkColumn:
+    """15 significant digits without the zeros that Java leaves at their end, and always a point."""
+
+    def shown(r):
+        digits = F.regexp_replace(F.format_string("%.15g", r), r"(\.[0-9]*?)0+(e[+-][0-9]+)?$", "$1$2")
+        digits = F.regexp_replace(digits, r"\.(e|$)", ".0$1")
+        inf = F.lit(float("inf"))
+        return F.when(r == inf, "Inf").when(r == -inf, "-Inf").when(F.isnan(r), "").when(r == 0, "0.0").when(r.isNotNull(), digits)
+
+    return let(Val(x, REAL), shown)
 
 
 @F.arrow_udf(T.BooleanType())
 def _like_rows(x: pa.Array, pattern: pa.Array, escape: pa.Array, op: pa.Array) -> pa.Array:
-    return pa.array([v.like(o, a, p, e) for a, p, e, o in zip(x.to_pylist(), pattern.to_pylist(), escape.to_pylist(), op.to_pylist())], pa.bool_())
+    texts, patterns = ([None if y is None else y.decode("utf-8", "surrogateescape") for y in z.cast(pa.binary()).to_pylist()] for z in (x, pattern))
+    return pa.array([v.like(o, a, p, e) for a, p, e, o in zip(texts, patterns, escape.to_pylist(), op.to_pylist())], pa.bool_())
 
 
 def text(x: Val) -> SparkColumn:
@@ -180,9 +205,8 @@ def text(x: Val) -> SparkColumn:
     if x.cls == REAL:
         return _real_text(x.col)
     if x.cls == BLOB:
-        return F.decode(x.col, "UTF-8")
-    c = x.col
-    return F.when(c["cls"] == 1, c["i"].cast("string")).when(c["cls"] == 2, _real_text(c["r"])).when(c["cls"] == 3, c["t"]).when(c["cls"] == 4, F.decode(c["b"], "UTF-8"))
+        return x.col.cast("string")
+    return let(x, lambda c: F.coalesce(c["i"].cast("string"), _real_text(c["r"]), c["t"], c["b"].cast("string")))
 
 
 def _leading(t: SparkColumn, pattern: str = _NUMBER) -> SparkColumn:
@@ -190,13 +214,14 @@ def _leading(t: SparkColumn, pattern: str = _NUMBER) -> SparkColumn:
     return F.regexp_extract(t, pattern, 1)
 
 
-def _number_of_text(t: SparkColumn) -> SparkColumn:
+def _number_of_text(t: Val) -> SparkColumn:
     """The leading number of a text as a DYN of INT or REAL, 0 if there is none."""
-    lead = _leading(t)
-    whole = F.when(lead.rlike(r"^[+-]?[0-9]+$"), lead.try_cast("bigint"))
-    real = lead.try_cast("double")
-    value = F.when(lead == "", _struct(INT, F.lit(0))).when(whole.isNotNull(), _struct(INT, whole)).otherwise(_struct(REAL, real))
-    return F.when(t.isNotNull(), value)
+
+    def of_lead(lead):
+        whole = F.when(lead.rlike(r"^[+-]?[0-9]+$"), lead.try_cast("bigint"))
+        return F.when(lead == "", _struct(INT, F.lit(0))).when(whole.isNotNull(), _struct(INT, whole)).when(lead.isNotNull(), _struct(REAL, lead.try_cast("double")))
+
+    return let(Val(_leading(t.col), TEXT), of_lead)
 
 
 def number(x: Val) -> Val:
@@ -206,10 +231,13 @@ def number(x: Val) -> Val:
     if x.const:
         return constant(v.number(x.const[0]))
     if x.cls in (TEXT, BLOB):
-        return Val(_number_of_text(text(x)), DYN)
-    c = x.col
-    t = F.when(c["cls"] == 3, c["t"]).when(c["cls"] == 4, F.decode(c["b"], "UTF-8"))
-    return Val(F.when(c["cls"] <= 2, c).otherwise(_number_of_text(t)), DYN)
+        return Val(_number_of_text(Val(text(x), TEXT)), DYN)
+
+    def of_dyn(c):
+        t = F.coalesce(c["t"], c["b"].cast("string"))
+        return F.when(c["cls"] <= 2, c).otherwise(_number_of_text(Val(t, TEXT)))
+
+    return Val(let(x, of_dyn), DYN)
 
 
 def real(x: Val) -> SparkColumn:
@@ -218,12 +246,16 @@ def real(x: Val) -> SparkColumn:
     if x.cls == NULL:
         return null_of("double")
     if x.cls == DYN:
-        return F.coalesce(x.col["r"], x.col["i"].cast("double"))
+        return let(x, lambda c: F.coalesce(c["r"], c["i"].cast("double")))
     return x.col.cast("double")
 
 
-def _saturated(r: SparkColumn) -> SparkColumn:
+def _saturated(x: SparkColumn) -> SparkColumn:
     """A double cut to a long, without an overflow."""
+    return let(Val(x, REAL), _cut)
+
+
+def _cut(r: SparkColumn) -> SparkColumn:
     inside = (r > F.lit(-float(2**63))) & (r < F.lit(float(2**63)))
     return F.when(r.isNull(), null_of("bigint")).when(inside, F.when(inside, r).otherwise(0.0).cast("bigint")).when(r > 0, F.lit(HIGH)).otherwise(F.lit(LOW))
 
@@ -264,45 +296,71 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
     if a.cls == INT and b.cls == INT:
         return _int_arithmetic(op, a, b)
     if DYN in (a.cls, b.cls):
-        ints = [Val(x.col["i"], INT) if x.cls == DYN else x if x.cls == INT else None for x in (a, b)]
-        as_real = _real_arithmetic(op, real(a), real(b))
-        if None in ints:
-            return Val(as_real, REAL)
-        whole = dyn(_int_arithmetic(op, *ints))  # type: ignore[arg-type]
-        both = F.lit(True)
-        for x in (a, b):
-            if x.cls == DYN:
-                both = both & (x.col["cls"] == 1)
-        return Val(F.when(both, whole).otherwise(dyn(Val(as_real, REAL))), DYN)
+
+        def both(x, y):
+            p, q = _bound(a, x), _bound(b, y)
+            as_real = _real_arithmetic(op, real(p), real(q))
+            ints = [Val(z.col["i"], INT, leaf=True) if z.cls == DYN else z if z.cls == INT else None for z in (p, q)]
+            if None in ints:
+                return dyn(Val(as_real, REAL))
+            whole = F.lit(True)
+            for z in (p, q):
+                if z.cls == DYN:
+                    whole = whole & (z.col["cls"] == 1)
+            return F.when(whole, dyn(_int_arithmetic(op, *ints))).otherwise(dyn(Val(as_real, REAL)))
+
+        return Val(let(a, lambda x: let(b, lambda y: both(x, y))), DYN)
     return Val(_real_arithmetic(op, real(a), real(b)), REAL)
 
 
+def _bound(x: Val, col: SparkColumn) -> Val:
+    """A value by another name for its column."""
+    return Val(col, x.cls, x.low, x.high, x.aff, leaf=True)
+
+
 def _int_arithmetic(op: str, a: Val, b: Val) -> Val:
-    x, y = int_col(a), int_col(b)
     low, high = _bounds(op, a, b)  # type: ignore[misc]
+    fits = low >= LOW and high <= HIGH
+    x, y = int_col(a), int_col(b)
+    if op in ("+", "-", "*") and fits:
+        return Val(x + y if op == "+" else x - y if op == "-" else x * y, INT, low, high)
     if op == "%":
         # -1 divides all, and the least integer overflows on it
-        return Val(F.when(y == -1, F.when(x.isNotNull(), F.lit(0).cast("bigint"))).otherwise(F.try_mod(x, y)), INT, low, high)
+        if b.const and b.const[0] != -1:
+            return Val(F.try_mod(x, y), INT, low, high)
+        return Val(let(a, lambda p: let(b, lambda q: F.when(q == -1, F.when(p.isNotNull(), F.lit(0).cast("bigint"))).otherwise(F.try_mod(p.cast("bigint"), q.cast("bigint"))))), INT, low, high)
     if op == "/":
-        safe = F.when(y != 0, y)
-        if low >= LOW and high <= HIGH:
-            return Val(F.call_function("div", x, safe) if not b.const or b.const[0] else null_of("bigint"), INT, low, high)
-        over = (x == LOW) & (y == -1)
-        whole = F.call_function("div", F.when(~over, x), safe)
-        return Val(F.when(over, _struct(REAL, F.lit(float(2**63)))).otherwise(dyn(Val(whole, INT))), DYN)
-    if low >= LOW and high <= HIGH:
-        return Val(x + y if op == "+" else x - y if op == "-" else x * y, INT, low, high)
+        if b.const:
+            if b.const[0] == 0:
+                return Val(null_of("bigint"), INT, low, high)
+            if fits:
+                return Val(F.call_function("div", x, y), INT, low, high)
+        if fits:
+            return Val(F.call_function("div", x, let(b, lambda q: F.when(q != 0, q.cast("bigint")))), INT, low, high)
+
+        def divided(p, q):
+            p, q = p.cast("bigint"), q.cast("bigint")
+            over = (p == LOW) & (q == -1)
+            whole = F.call_function("div", F.when(~over, p), F.when(q != 0, q))
+            return F.when(over, _struct(REAL, F.lit(float(2**63)))).otherwise(dyn(Val(whole, INT)))
+
+        return Val(let(a, lambda p: let(b, lambda q: divided(p, q))), DYN)
     f = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op]
-    whole = f(x, y)
-    p, q = x.cast("double"), y.cast("double")
-    wide = p + q if op == "+" else p - q if op == "-" else p * q
-    return Val(F.when(x.isNull() | y.isNull(), null_of(DYN_TYPE.simpleString())).when(whole.isNotNull(), _struct(INT, whole)).otherwise(_struct(REAL, wide)), DYN)
+
+    def promoted(p, q):
+        p, q = p.cast("bigint"), q.cast("bigint")
+        u, w = p.cast("double"), q.cast("double")
+        wide = u + w if op == "+" else u - w if op == "-" else u * w
+        whole = f(p, q)
+        return F.when(p.isNull() | q.isNull(), null_of(DYN_TYPE.simpleString())).when(whole.isNotNull(), _struct(INT, whole)).otherwise(_struct(REAL, wide))
+
+    return Val(let(a, lambda p: let(b, lambda q: promoted(p, q))), DYN)
 
 
 def _real_arithmetic(op: str, x: SparkColumn, y: SparkColumn) -> SparkColumn:
     if op == "%":
-        p, q = _saturated(x), _saturated(y)
-        return F.when(q == -1, F.when(p.isNotNull(), F.lit(0.0))).otherwise(F.try_mod(p, q).cast("double"))
+        p, q = Val(_saturated(x), INT), Val(_saturated(y), INT)
+        return let(p, lambda m: let(q, lambda n: F.when(n == -1, F.when(m.isNotNull(), F.lit(0.0))).otherwise(F.try_mod(m, n).cast("double"))))
     if op == "/":
         return F.nanvl(F.try_divide(x, y), null_of("double"))
     out = x + y if op == "+" else x - y if op == "-" else x * y
@@ -324,11 +382,17 @@ def _apply(x: Val, aff: str | None) -> Val:
         return Val(F.when(x.col["cls"] <= 2, _struct(TEXT, text(x))).otherwise(x.col), DYN) if x.cls == DYN else x
     if x.cls in (INT, REAL):
         return x
-    t = x.col if x.cls == TEXT else x.col["t"]
-    found = F.when(t.rlike(_WHOLE), _number_of_text(t))
     if x.cls == TEXT:
-        return Val(F.coalesce(found, dyn(x)), DYN)
-    return Val(F.when(x.col["cls"] == 3, F.coalesce(found, x.col)).otherwise(x.col), DYN)
+        return Val(let(x, lambda t: F.coalesce(F.when(t.rlike(_WHOLE), _number_of_text(Val(t, TEXT, leaf=True))), _struct_or_null(TEXT, t))), DYN)
+
+    def of_dyn(c):
+        return F.when((c["cls"] == 3) & c["t"].rlike(_WHOLE), _number_of_text(Val(c["t"], TEXT, leaf=True))).otherwise(c)
+
+    return Val(let(x, of_dyn), DYN)
+
+
+def _struct_or_null(cls: str, col: SparkColumn) -> SparkColumn:
+    return F.when(col.isNotNull(), _struct(cls, col))
 
 
 _OPS = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
@@ -440,7 +504,7 @@ def cast(x: Val, type_name: str) -> Val:
     if aff == "TEXT":
         return Val(text(x), TEXT, aff=aff)
     if aff == "BLOB":
-        return Val(x.col if x.cls == BLOB else F.encode(text(x), "UTF-8"), BLOB, aff=aff)
+        return Val(x.col if x.cls == BLOB else text(x).cast("binary"), BLOB, aff=aff)
     if aff == "REAL":
         return Val(real(x), REAL, aff=aff)
     if aff == "INTEGER":
@@ -448,21 +512,29 @@ def cast(x: Val, type_name: str) -> Val:
             return Val(x.col, INT, x.low, x.high, aff, x.pred)
         if x.cls == REAL:
             return Val(_saturated(x.col), INT, aff=aff)
-        lead = _leading(text(x), _INTEGER)
-        past = F.when(lead.startswith("-"), F.lit(LOW)).otherwise(F.lit(HIGH))
-        of_text = F.when(lead == "", F.lit(0).cast("bigint")).otherwise(F.coalesce(lead.try_cast("bigint"), past))
-        of_text = F.when(text(x).isNotNull(), of_text)
+
+        def whole(t):
+            def of_lead(lead):
+                past = F.when(lead.startswith("-"), F.lit(LOW)).otherwise(F.lit(HIGH))
+                return F.when(lead == "", F.lit(0).cast("bigint")).when(lead.isNotNull(), F.coalesce(lead.try_cast("bigint"), past))
+
+            return let(Val(_leading(t, _INTEGER), TEXT), of_lead)
+
         if x.cls == DYN:
-            c = x.col
-            return Val(F.when(c["cls"] == 1, c["i"]).when(c["cls"] == 2, _saturated(c["r"])).otherwise(of_text), INT, aff=aff)
-        return Val(of_text, INT, aff=aff)
+            return Val(let(x, lambda c: F.when(c["cls"] == 1, c["i"]).when(c["cls"] == 2, _saturated(c["r"])).otherwise(whole(F.coalesce(c["t"], c["b"].cast("string"))))), INT, aff=aff)
+        return Val(whole(text(x)), INT, aff=aff)
     if x.cls in (INT, REAL):
         return Val(x.col, x.cls, x.low, x.high, aff)
-    n = number(x)
-    r = n.col["r"]
-    of_text = text(x) if x.cls != DYN else F.when(x.col["cls"] >= 3, text(x))
-    exact = of_text.isNotNull() & (F.abs(r) < F.lit(float(2**51))) & (r == F.floor(F.when(F.abs(r) < F.lit(float(2**51)), r)).cast("double"))
-    return Val(F.when(exact, _struct(INT, _saturated(r))).otherwise(n.col), DYN, aff=aff)
+
+    def exact(n):
+        r = n["r"]
+        small = F.abs(r) < F.lit(float(2**51))
+        whole = small & (r == F.floor(F.when(small, r)).cast("double"))
+        return F.when(whole, _struct(INT, _saturated(r))).otherwise(n)
+
+    if x.cls == DYN:  # numbers stay as they are
+        return Val(let(x, lambda c: F.when(c["cls"] <= 2, c).otherwise(let(Val(_number_of_text(Val(F.coalesce(c["t"], c["b"].cast("string")), TEXT)), DYN), exact))), DYN, aff=aff)
+    return Val(let(number(x), exact), DYN, aff=aff)
 
 
 # expressions
@@ -505,7 +577,7 @@ def compile_expr(x: Expr, scope: Scope) -> Val:
         a = children[0]
         if x.op == "NOT":
             return boolean(~truth(a))
-        return arithmetic("-", constant(0), a) if x.op == "-" else Val(a.col, a.cls, a.low, a.high, a.aff, a.pred, a.const)
+        return arithmetic("-", constant(0), a) if x.op == "-" else a
     if isinstance(x, Cast):
         return cast(children[0], x.type)
     if isinstance(x, Binary):

@@ -127,7 +127,7 @@ def plan_select(spark: SparkSession, s: Select, source: Source | None) -> Plan:
 
 def _after(x: Val, col: SparkColumn) -> Val:
     """A value once it is a column of a new frame."""
-    return Val(col, x.cls, x.low, x.high, x.aff, const=None)
+    return Val(col, x.cls, x.low, x.high, x.aff, leaf=True)
 
 
 def _group(df: DataFrame, s: Select, outputs: tuple[Output, ...], scope: Scope, numbered: bool) -> tuple[DataFrame, Scope]:
@@ -188,6 +188,8 @@ def _aggregate(a: Aggregate, scope: Scope) -> tuple[SparkColumn, Val]:
     """The aggregate's column, and its class and bounds."""
     if a.x is None:
         return F.count(F.lit(1)), Val(F.lit(0), INT, 0, c.HIGH)
+    if has_aggregate(a.x):
+        raise SQLError("aggregate outside group context")
     x = c.compile_expr(a.x, scope)
     if x.cls == "OPAQUE":
         c.raise_opaque()
@@ -310,7 +312,7 @@ def collapse(plan: Plan, types: str) -> DataFrame:
     for name, cls, kind in zip(names, plan.classes, types):
         col = F.col(name)
         if cls == DYN:
-            x = Val(col, DYN)
+            x = Val(col, DYN, leaf=True)
             col = {"I": lambda: c.cast(x, "INTEGER").col, "R": lambda: c.real(x), "T": lambda: c.text(x)}[kind]()
         cols.append(col)
     return df.select(*cols).toDF(*plan.names)

@@ -88,9 +88,9 @@ class Table:
         classes = tuple(k[0] if len(set(k)) == 1 else DYN for k in zip(*(p for p, _ in pieces)))
         df = None
         for own, piece in pieces:
-            piece = piece.select(ROW, *((c.dyn(Val(F.col(f"c{i}"), a)) if a != b else F.col(f"c{i}")).alias(f"c{i}") for i, (a, b) in enumerate(zip(own, classes))))
+            piece = piece.select(ROW, *((c.dyn(Val(F.col(f"c{i}"), a, leaf=True)) if a != b else F.col(f"c{i}")).alias(f"c{i}") for i, (a, b) in enumerate(zip(own, classes))))
             df = piece if df is None else df.unionByName(piece)
-        vals = [(col.name, Val(F.col(f"c{i}"), k, aff=aff)) for i, (col, k, aff) in enumerate(zip(self.columns, classes, self.affinities))]
+        vals = [(col.name, Val(F.col(f"c{i}"), k, aff=aff, leaf=True)) for i, (col, k, aff) in enumerate(zip(self.columns, classes, self.affinities))]
         return Source(df, vals, numbered=True, ordered=not self.parts)
 
 
