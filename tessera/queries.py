@@ -85,7 +85,7 @@ QUERIES: dict[str, Query] = {
     "avg_distinct": Query("part", "SELECT AVG(DISTINCT p_size) AS a FROM part", "SELECT avg(DISTINCT p_size) AS a FROM part"),
     "min_max": Query("customer", "SELECT MIN(c_acctbal) AS lo, MAX(c_name) AS hi, MIN(c_custkey) AS k FROM customer", "SELECT min(c_acctbal) AS lo, max(c_name) AS hi, min(c_custkey) AS k FROM customer"),
     "agg_empty": Query("part", "SELECT COUNT(*) AS n, SUM(p_size) AS s, AVG(p_size) AS a, MIN(p_name) AS m FROM part WHERE p_size < 0", "SELECT count(*) AS n, CAST(sum(p_size) AS BIGINT) AS s, avg(p_size) AS a, min(p_name) AS m FROM part WHERE p_size < 0"),
-    "agg_expression": Query("part", "SELECT SUM(p_size) / COUNT(*) AS a, MAX(p_size) - MIN(p_size) + 1 AS b FROM part", "SELECT CAST(sum(p_size) // count(*) AS BIGINT) AS a, CAST(max(p_size) - min(p_size) + 1 AS BIGINT) AS b FROM part"),
+    "agg_expression": Query("part", "SELECT SUM(p_size) / COUNT(*) AS a, MAX(p_size) - MIN(p_size) + 1 AS b FROM part", "SELECT CAST(sum(p_size) // count(*) AS BIGINT) AS a, CAST(max(p_size) - min(p_size) + 1 AS BIGINT) AS b FROM part", "II"),
     "group_by": Query("customer", "SELECT c_mktsegment, COUNT(*) AS n, MIN(c_acctbal) AS lo FROM customer GROUP BY c_mktsegment", "SELECT c_mktsegment, count(*) AS n, min(c_acctbal) AS lo FROM customer GROUP BY 1"),
     "group_by_multi": Query("orders", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2"),
     "group_by_expr": Query("part", "SELECT p_size % 5 AS k, COUNT(*) AS n FROM part GROUP BY p_size % 5", "SELECT CAST(p_size % 5 AS BIGINT) AS k, count(*) AS n FROM part GROUP BY 1"),

@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch to and from Python, where the session leaves the default: texts can be long.
+ARROW_ROWS = "2000"
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -28,6 +30,8 @@ def ship(spark: SparkSession) -> SparkSession:
         path.write_bytes(data.getvalue())
         sc.addPyFile(str(path))
         _shipped.add(sc.applicationId)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark
 
 
