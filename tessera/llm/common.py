@@ -9,6 +9,8 @@ Conventions of every operator here
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,7 +23,11 @@ from pyspark.sql import functions as F
 #: Stands for a null id inside an operator.
 NO_ID = -(2**63)
 #: Bytes of text that one numpy pass works on (a longer text is a slice of its own).
-SLICE = 2 << 20
+SLICE = 1 << 20
+
+with contextlib.suppress(OSError, AttributeError):  # arrays reuse memory while a task runs; tidy() gives it back (glibc: M_MMAP_THRESHOLD, M_TRIM_THRESHOLD)
+    ctypes.CDLL(None).mallopt(-3, 1 << 25)
+    ctypes.CDLL(None).mallopt(-1, 1 << 28)
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -92,6 +98,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             high = max(low + 1, int(np.searchsorted(at, base + most, "right")))
             yield batch.slice(low, high - low)
             low = high
+    tidy()
+
+
+def tidy() -> None:
+    """Give memory back: a worker waits for its next task beside others that need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _offsets(texts: pa.Array) -> np.ndarray:

@@ -179,25 +179,29 @@ def near_groups(df: DataFrame, similarity: float = 0.8, k: int = 5, sketches: in
     sketched = save(docs.mapInArrow(_sketch(k, sketches, minima), _SKETCHED), "sketches")
     nodes = sketched.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first("words").alias("words"), F.first("sketches").alias("sketches"))
     nodes = save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    bands = nodes.filter("words > 0").select("node", "words", "sketches", F.posexplode("sketches").alias("band", "sketch"))
-    bands = bands.select("band", "sketch", "node", "words", F.element_at("sketches", F.pmod(F.col("band") + 1, F.lit(sketches)) + 1).alias("other"))
-    groups = bands.groupBy("band", "sketch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "words")).alias("hub")).filter("n > 1")
-    members = save(bands.join(groups, ["band", "sketch"]).select("band", "sketch", "node", "words", "other", "n", F.col("hub.node").alias("hub"), F.col("hub.words").alias("hub_words")), "bands")
-
-    def near(a: str, b: str):  # the alignment could not accept other lengths
-        return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity) - 1e-6
-
-    first = members.filter((F.col("hub") != F.col("node")) & near("words", "hub_words")).select("hub", "node").distinct()
+    # a sketch's number is in its hash, so equal sketches are of one band
+    bands = nodes.filter("words > 0").select("node", "sketches", F.posexplode("sketches").alias("band", "sketch"))
+    bands = bands.select("sketch", "node", F.element_at("sketches", F.pmod(F.col("band") + 1, F.lit(sketches)) + 1).alias("other"))
+    groups = bands.groupBy("sketch").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1")
+    members = save(bands.join(groups, "sketch"), "bands")
+    lengths = nodes.select("node", "words")
+
+    def near(pairs: DataFrame) -> DataFrame:  # the alignment could not accept other lengths
+        a, b = lengths.toDF("hub", "hub_words"), lengths
+        pairs = pairs.join(a, "hub").join(b, "node")
+        return pairs.filter(F.least("words", "hub_words") >= F.greatest("words", "hub_words") * F.lit(similarity) - 1e-6).select("hub", "node")
+
+    first = near(members.filter(F.col("hub") != F.col("node")).select("hub", "node").distinct())
     links = save(_links(docs, nodes, first, similarity), "links")
-    groups_now = components(links)
+    known = save(components(links), "groups")
     # neighbours in a group, sorted by another sketch; a large group is sorted in pieces
-    piece = Window.partitionBy("band", "sketch", "piece").orderBy("other", "node")
+    piece = Window.partitionBy("sketch", "piece").orderBy("other", "node")
     beside = members.withColumn("piece", F.pmod(F.xxhash64("other"), F.ceil(F.col("n") / 1000)))
-    beside = beside.withColumn("hub", F.lag("node").over(piece)).withColumn("hub_words", F.lag("words").over(piece))
-    beside = beside.filter(F.col("hub").isNotNull() & near("words", "hub_words")).select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct()
-    known = save(groups_now, "groups")
+    beside = beside.withColumn("hub", F.lag("node").over(piece)).filter("hub is not null")
+    beside = beside.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct()
     left, right = known.toDF("hub", "hub_group"), known.toDF("node", "node_group")
     second = beside.join(left, "hub", "left").join(right, "node", "left").filter(F.coalesce("hub_group", "hub") != F.coalesce("node_group", "node")).select("hub", "node")
+    second = near(second)
     found = components(links.union(_links(docs, nodes, second, similarity))).withColumnRenamed("component", "of")
     labelled = nodes.select("h1", "h2", "node", "least").join(found, "node", "left").withColumn("of", F.coalesce("of", "node"))
     least = labelled.groupBy("of").agg(F.min(F.struct("least", "h1", "h2")).alias("one"))
