@@ -1,27 +1,37 @@
 """Token ids of whole texts with a public tokenizer, fast where words repeat.
 
-A text whose every space stands between two non-white characters is cut before
-its spaces. The vocabularies here never let a token reach over such a cut
-(``space_leads``: a piece keeps the space before it, as byte-level vocabularies
-want it; without, white space is dropped), so the ids of the pieces in a row are
-the ids of the text, and a piece is encoded once for a worker, not once for each
-time it occurs. Any other text is encoded as a whole.
+A text whose every space stands between two non-white characters is cut at its
+spaces. The vocabularies here never let a token reach over such a cut, so the ids
+of the pieces in a row are the ids of the text, and a piece is encoded once for a
+worker, not once for each time it occurs. Any other text is encoded as a whole.
+
+``space_leads`` tells the two kinds of vocabulary apart: with it, a piece keeps
+the space before it (byte-level vocabularies); without, white space is dropped,
+letters are lower-cased and words have an end (word vocabularies).
+
+A piece that is letters and then perhaps common punctuation is two units, since
+both kinds cut there. New words of letters are encoded many at a time, by the
+same model behind a cut at spaces alone; the marks that a word's first (or last)
+token bears tell the words apart again, and a chunk whose marks do not add up is
+encoded word by word.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-
 _WHITE = r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
-#: A space at an end of the text or beside white space.
-_ODD = rf"(?:^|{_WHITE}) | (?:{_WHITE}|$)"
-#: Bytes of text encoded at once, and pieces that a worker remembers.
-SLICE, REMEMBERED = 6 << 20, 700_000
+#: A space or a line's end at an end of the text or beside white space.
+_ODD = rf"(?:^|{_WHITE})[ \n]|[ \n](?:{_WHITE}|$)"
+#: Letters that case and composition treat one by one, and punctuation that tokens do not share with letters.
+_LETTERS, _TAIL = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+$", ".,;:!?"
+#: Bytes of text encoded at once, and units that a worker remembers.
+SLICE, REMEMBERED = 4 << 20, 500_000
 
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
@@ -36,11 +46,18 @@ def encoder(path: str, space_leads: bool) -> "Encoder":
 class Encoder:
     def __init__(self, path: str, space_leads: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.space_leads = space_leads
+        self.words = Tokenizer(self.tokenizer.model)
+        cut = pre_tokenizers.Split(" ", "merged_with_next") if space_leads else pre_tokenizers.WhitespaceSplit()
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.marked = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin (or end) a word
+        for token, i in vocabulary.items():
+            self.marked[i] = token.startswith("Ġ") if space_leads else token.endswith("</w>")
         self.forget()
 
     def forget(self) -> None:
@@ -48,77 +65,122 @@ class Encoder:
         self.ids, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _learn(self, pieces: list[str]) -> None:
-        for low in range(0, len(pieces), 20_000):
-            some = pieces[low : low + 20_000]
+    def _learn(self, units: list[str], flat: np.ndarray, length: np.ndarray) -> None:
+        first = len(self.known)
+        self.ids = _room(self.ids, self.used + len(flat))
+        self.start, self.length = _room(self.start, first + len(units)), _room(self.length, first + len(units))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.length[first : first + len(units)] = length
+        self.start[first : first + len(units)] = self.used + np.cumsum(length) - length
+        self.used += len(flat)
+        self.known.update(zip(units, range(first, first + len(units))))
+
+    def _learn_singly(self, units: list[str]) -> None:
+        for low in range(0, len(units), 20_000):
+            some = units[low : low + 20_000]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
             length = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for y in ids for x in y), np.uint32, int(length.sum()))
-            first = len(self.known)
-            self.ids = _room(self.ids, self.used + len(flat))
-            self.start, self.length = _room(self.start, first + len(some)), _room(self.length, first + len(some))
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.length[first : first + len(some)] = length
-            self.start[first : first + len(some)] = self.used + np.cumsum(length) - length
-            self.used += len(flat)
-            self.known.update(zip(some, range(first, first + len(some))))
-
-    def _places(self, pieces: list[str]) -> np.ndarray:
-        """Where each of these pieces (distinct ones) is kept."""
+            self._learn(some, np.array(list(itertools.chain.from_iterable(ids)), np.uint32), length)
+
+    def _learn_words(self, units: list[str]) -> None:
+        """Words of letters (each with its space before it, if spaces lead), many at a time."""
+        for low in range(0, len(units), 20_000):
+            some = units[low : low + 20_000]
+            texts = [("" if self.space_leads else " ").join(some[k : k + 500]) for k in range(0, len(some), 500)]
+            flat = np.array(list(itertools.chain.from_iterable(e.ids for e in self.words.encode_batch_fast(texts, add_special_tokens=False))), np.uint32)
+            at = np.flatnonzero(self.marked[flat])
+            if len(at) != len(some) or len(at) and (at[0] != 0 if self.space_leads else at[-1] != len(flat) - 1):
+                self._learn_singly(some)
+                continue
+            length = np.diff(np.append(at, len(flat))) if self.space_leads else np.diff(np.append(-1, at))
+            self._learn(some, flat, length)
+
+    def _places(self, words: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where units are kept: words of letters, and others; each list without repeats."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        get = self.known.get
-        if new := [p for p in pieces if get(p) is None]:
-            self._learn(new)
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        known = self.known
+        self._learn_words([p for p in words if p not in known])
+        self._learn_singly([p for p in others if p not in known])
+        get = known.__getitem__
+        return np.fromiter(map(get, words), np.int64, len(words)), np.fromiter(map(get, others), np.int64, len(others))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's ids begin (one entry more)."""
         texts = texts.cast(pa.string()) if texts.type != pa.string() else texts
         odd = np.asarray(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False), bool)
-        split = pc.split_pattern(texts, " ")
-        words = split.flatten()
+        # a line's end is a cut too: white space is dropped, or it is a piece of its own
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n " if self.space_leads else " "), " ")
+        pieces = split.flatten()
         bounds = split.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
-        count = np.diff(bounds)
-        lead = np.ones(len(words), bool)
-        lead[bounds[:-1]] = False  # the first piece has no space before it
-        simple = np.repeat(~odd, count)
-        place = np.zeros(len(words), np.int64)
-        groups = [(simple & lead, " " if self.space_leads else ""), (simple & ~lead, "")]
-        # places are valid until something is forgotten, so all pieces are looked up at once
-        distinct, codes, base = [], [], 0
-        for which, prefix in groups:
-            coded = words.filter(pa.array(which)).dictionary_encode()
-            own = coded.dictionary.to_pylist()
-            distinct += [prefix + w for w in own] if prefix else own
-            codes.append(coded.indices.to_numpy().astype(np.int64) + base)
-            base += len(own)
-        unique = list(dict.fromkeys(distinct))
-        at = self._places(unique)
-        if len(unique) < len(distinct):
-            index = dict(zip(unique, at.tolist()))
-            at = np.fromiter(map(index.__getitem__, distinct), np.int64, len(distinct))
-        for (which, _), code in zip(groups, codes):
-            place[which] = at[code] if len(code) else 0
-        length = np.where(simple, self.length[place], 0)
-        whole = {}
-        for i in np.flatnonzero(odd).tolist():
-            whole[i] = np.array(self.tokenizer.encode_batch_fast([texts[i].as_py()], add_special_tokens=False)[0].ids, np.uint32)
-        total = np.concatenate([[0], np.cumsum(length)])
+        simple = np.repeat(~odd, np.diff(bounds))
+        if self.space_leads:
+            ends = np.asarray(pc.equal(pieces, "\n").to_numpy(zero_copy_only=False), bool)
+            lead = ~ends  # pieces with a space before them
+            lead[1:] &= ~ends[:-1]
+            lead[bounds[:-1]] = False
+            units = self._units(pieces, [(simple & lead, " "), (simple & ~lead, None)])
+        else:
+            units = self._units(pieces, [(simple, "")])
+        length = self.length[units]
+        length[units < 0] = 0
+        total = np.concatenate([[0], np.cumsum(length.sum(axis=1))])
         sizes = total[bounds[1:]] - total[bounds[:-1]]
-        ids = self._gather(place, length)
-        if not whole:
-            return ids, np.concatenate([[0], np.cumsum(sizes)])
-        parts, low = [], 0
-        for i, own in whole.items():
-            parts += [ids[low : total[bounds[i]]], own]
-            low = total[bounds[i]]
-            sizes[i] = len(own)
-        return np.concatenate([*parts, ids[low:]]), np.concatenate([[0], np.cumsum(sizes)])
+        ids = self._gather(units.ravel(), length.ravel())
+        whole = {i: np.array(self.tokenizer.encode_batch_fast([texts[i].as_py()], add_special_tokens=False)[0].ids, np.uint32) for i in np.flatnonzero(odd).tolist()}
+        if whole:
+            parts, low = [], 0
+            for i, own in whole.items():
+                parts += [ids[low : total[bounds[i]]], own]
+                low = total[bounds[i]]
+                sizes[i] = len(own)
+            ids = np.concatenate([*parts, ids[low:]])
+        return ids, np.concatenate([[0], np.cumsum(sizes)])
+
+    def _units(self, pieces: pa.Array, groups: list[tuple[np.ndarray, str | None]]) -> np.ndarray:
+        """The place of each piece's one or two units, -1 for none.
+
+        A group is some of the pieces and what stands before them; None: nothing,
+        so that their words bear no mark and are encoded one by one.
+        """
+        words, others, todo = [], [], []
+        for which, before in groups:
+            coded = pieces.filter(pa.array(which)).dictionary_encode()
+            own, space = coded.dictionary, before or ""
+            bare = pc.utf8_rtrim(own, _TAIL)
+            plain = np.asarray(pc.match_substring_regex(bare, _LETTERS).to_numpy(zero_copy_only=False), bool)
+            stems = bare.filter(pa.array(plain))
+            stems = (stems if self.space_leads else pc.utf8_lower(stems)).dictionary_encode()
+            stem_texts = [space + w for w in stems.dictionary.to_pylist()] if space else stems.dictionary.to_pylist()
+            size, cut = pc.utf8_length(own).to_numpy(), pc.utf8_length(bare).to_numpy()
+            tailed = plain & (size > cut) if len(own) else plain
+            tails = [x[n:] for x, n in zip(own.filter(pa.array(tailed)).to_pylist(), cut[tailed].tolist())]
+            rest = [space + x for x in own.filter(pa.array(~plain)).to_pylist()]
+            others += [tails, rest] if before is not None else [tails, rest, stem_texts]
+            words += stem_texts if before is not None else []
+            todo.append((which, before, coded, plain, stems, stem_texts, tailed, tails, rest))
+        unique = list(dict.fromkeys(itertools.chain.from_iterable(others)))
+        # nothing is forgotten between these look-ups
+        word_at, other_at = self._places(words, unique)
+        where = dict(zip(unique, other_at.tolist()))
+        out = np.full((len(pieces), 2), -1, np.int64)
+        for which, before, coded, plain, stems, stem_texts, tailed, tails, rest in todo:
+            if not len(coded):
+                continue
+            unit = np.full((len(plain), 2), -1, np.int64)
+            at = word_at if before is not None else np.array([where[x] for x in stem_texts], np.int64)
+            if len(stem_texts):
+                unit[plain, 0] = at[stems.indices.to_numpy()]
+            unit[~plain, 0] = [where[x] for x in rest]
+            unit[tailed, 1] = [where[x] for x in tails]
+            out[which] = unit[coded.indices.to_numpy()]
+        return out
 
     def _gather(self, place: np.ndarray, length: np.ndarray) -> np.ndarray:
         n = int(length.sum())
+        some = length > 0
+        place, length = place[some], length[some]
         shift = self.start[place] - (np.cumsum(length) - length)
         return self.ids[np.repeat(shift, length) + np.arange(n)]
 
@@ -133,5 +195,3 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray
     out = np.full(len(ids) + n, end, np.uint32)
     out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(offsets))] = ids
     return out, offsets + np.arange(n + 1)
-
-
