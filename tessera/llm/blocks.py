@@ -10,6 +10,8 @@ each block. The exchange by block is the same in each step and Spark reuses it.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
@@ -17,14 +19,23 @@ from pyspark.sql import functions as F
 
 from .common import documents, partitions
 
-#: Blocks for each shuffle partition.
-FINER = 4
+#: Bytes of text whose hashes one bucket gets, and the least and the most that one block holds.
+BUCKET_BYTES, LEAST_BLOCK, MOST_BLOCK = 4 << 20, 4 << 20, 16 << 20
+
 
+def in_blocks(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """The documents as (block, doc_id, h1, text), and how many buckets there are to ask.
 
-def in_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, doc_id, h1, text)."""
-    n = FINER * partitions(df.sparkSession)
-    return documents(df, id_col, text_col).select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id", F.xxhash64("text").alias("h1"), "text")
+    Both numbers follow the bytes of all texts, so neither a block's nor a
+    bucket's arrays grow with the input; blocks grow with its square root, to
+    ``MOST_BLOCK``, so that rows for a block and a bucket stay few.
+    """
+    docs = documents(df, id_col, text_col)
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0
+    block = min(max(LEAST_BLOCK * math.sqrt(total / 2**30), LEAST_BLOCK), MOST_BLOCK)
+    least = partitions(df.sparkSession)
+    blocks, buckets = max(least, math.ceil(total / block)), max(least, math.ceil(total / BUCKET_BYTES))
+    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", F.xxhash64("text").alias("h1"), "text"), buckets
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import bucket_bounds, get, get_sorted, in_blocks, put, put_sorted
-from .common import Words, partitions, public_id, save, slices
+from .common import Words, public_id, save, slices
 
 _REQUEST = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
 _REPLY = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())])
@@ -143,8 +143,8 @@ def _score(order: int, backoff: float):
 
 def lm_scores(df: DataFrame, order: int = 2, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, log_score, score) for every document; score is log_score a word."""
-    docs = in_blocks(df, id_col, text_col)
-    asked = docs.groupBy("block").applyInArrow(_ask(order, partitions(df.sparkSession)), "bucket int, block int, grams binary, counts binary")
+    docs, buckets = in_blocks(df, id_col, text_col)
+    asked = docs.groupBy("block").applyInArrow(_ask(order, buckets), "bucket int, block int, grams binary, counts binary")
     replies = asked.groupBy("bucket").applyInArrow(_count, "block int, bucket int, totals binary")
     scored = docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(order, backoff), "doc_id long, words long, known double, unigrams long")
     scored = save(scored, "lm-scores")
