@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, partitions, public_id, save, slices
+from .common import documents, drop, partitions, public_id, save, slices
 
 _BLANK = b" \t\n\x0b\x0c\r"
 _PLACES = pa.list_(pa.int32())
@@ -186,6 +186,7 @@ def line_bitmaps(df: DataFrame, least_chars: int = 40, least_docs: int = 5, id_c
     n = partitions(df.sparkSession)
     ranged = lines.repartitionByRange(n, "h1", "h2", F.col("doc_id").desc()).sortWithinPartitions("h1", "h2", F.col("doc_id").desc(), F.element_at("places", 1))
     runs = save(ranged.mapInArrow(_stream(least_docs), "kind int, " + _LINES_DDL), "line-runs")
+    drop(lines)
     # two rows for each partition at most, so the sums fit a broadcast at any size of the input
     sums = runs.filter(F.col("kind") == _COUNT).groupBy("h1", "h2").agg(F.sum("text_hash").alias("docs"), F.max("doc_id").alias("top")).filter(F.col("docs") >= least_docs)
     open_ = runs.filter(F.col("kind") == _OPEN).join(F.broadcast(sums), ["h1", "h2"]).filter(F.col("doc_id") != F.col("top"))

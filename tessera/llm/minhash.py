@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Words, documents, mix, save, slices
+from .common import NO_ID, Words, documents, drop, mix, save, slices
 from .components import components
 
 _SKETCHED = "doc_id long, h1 long, h2 long, words long, sketches array<long>"
@@ -170,7 +170,10 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: floa
     dealt = pairs.join(pieces, "hub").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).join(texts, "node").select("hub", "piece", "node", "text")
     hubs = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", "piece", "text")
     hubs = hubs.select(F.col("hub").alias("first"), F.col("piece").alias("first_piece"), F.col("text").alias("first_text"))
-    return dealt.groupBy("hub", "piece").cogroup(hubs.groupBy("first", "first_piece")).applyInArrow(_verify(similarity), "a long, b long")
+    out = save(dealt.groupBy("hub", "piece").cogroup(hubs.groupBy("first", "first_piece")).applyInArrow(_verify(similarity), "a long, b long"), "links")
+    drop(pairs)
+    drop(texts)
+    return out
 
 
 def near_groups(df: DataFrame, similarity: float = 0.8, k: int = 5, sketches: int = 24, minima: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,7 +195,7 @@ def near_groups(df: DataFrame, similarity: float = 0.8, k: int = 5, sketches: in
         return pairs.filter(F.least("words", "hub_words") >= F.greatest("words", "hub_words") * F.lit(similarity) - 1e-6).select("hub", "node")
 
     first = near(members.filter(F.col("hub") != F.col("node")).select("hub", "node").distinct())
-    links = save(_links(docs, nodes, first, similarity), "links")
+    links = _links(docs, nodes, first, similarity)
     known = save(components(links), "groups")
     # neighbours in a group, sorted by another sketch; a large group is sorted in pieces
     piece = Window.partitionBy("sketch", "piece").orderBy("other", "node")
@@ -202,7 +205,10 @@ def near_groups(df: DataFrame, similarity: float = 0.8, k: int = 5, sketches: in
     left, right = known.toDF("hub", "hub_group"), known.toDF("node", "node_group")
     second = beside.join(left, "hub", "left").join(right, "node", "left").filter(F.coalesce("hub_group", "hub") != F.coalesce("node_group", "node")).select("hub", "node")
     second = near(second)
-    found = components(links.union(_links(docs, nodes, second, similarity))).withColumnRenamed("component", "of")
+    more = _links(docs, nodes, second, similarity)
+    found = components(links.union(more)).withColumnRenamed("component", "of")
+    for done in (members, links, more, known):
+        drop(done)
     labelled = nodes.select("h1", "h2", "node", "least").join(found, "node", "left").withColumn("of", F.coalesce("of", "node"))
     least = labelled.groupBy("of").agg(F.min(F.struct("least", "h1", "h2")).alias("one"))
     labelled = labelled.join(least, "of").select("h1", "h2", F.col("one.least").alias("class_id"), ((F.col("one.h1") == F.col("h1")) & (F.col("one.h2") == F.col("h2"))).alias("of_kept_text"))
