@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import partitions, save
 
 WEIGHTS = (5, 2, 1)
 #: Slopes of the schedules, repeating over the sources as the weights do: late, even, early.
@@ -75,12 +75,12 @@ def _plan(df: DataFrame, weights, slopes, cap: int, seed: int, id_col: str, text
     docs = save(docs, "mix-sizes")
     id_ = F.coalesce(F.pmod("doc_id", F.lit(_PRIME)), F.lit(0))
     docs = docs.withColumn("turn", F.pmod(id_ * seed + 12345, F.lit(_PRIME)))
-    blocks = max(1, docs.count() // BLOCK_ROWS)
+    blocks = max(partitions(df.sparkSession), docs.count() // BLOCK_ROWS)
     docs = docs.withColumn("block", F.expr(f"turn * {blocks} div {_PRIME}"))
     by_source = targets(docs, weights, cap)
     words = docs.groupBy("source", "block").agg(F.sum("size").alias("words"))
     base = F.sum("words").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    # a row for each 50,000 documents and one more for each source at most
+    # a row for each source and block
     bases = words.withColumn("base", F.coalesce(base, F.lit(0))).join(by_source, words["source"].eqNullSafe(by_source["source"]))
     bases = bases.select(words["source"].alias("of"), F.col("block").alias("of_block"), "base", "source_size", "rank", "all_words", "target")
     docs = docs.join(bases, docs["source"].eqNullSafe(F.col("of")) & (F.col("block") == F.col("of_block")))
