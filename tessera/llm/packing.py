@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, public_id, save, slices
+from .common import documents, partitions, public_id, save, slices
 from .tokens import SLICE, encoder, with_end
 
 #: Pieces of a length that one block counts, about.
@@ -213,7 +213,7 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, s
     pieces = save(documents(df, id_col, text_col).mapInArrow(_cut(tokenizer, space_leads, end_id, capacity), _PIECES), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     slots = spark.sparkContext.broadcast(_slots(plan(counts, capacity)))
-    blocks = max(1, sum(counts.values()) // BLOCK_ROWS)
+    blocks = max(partitions(spark), sum(counts.values()) // BLOCK_ROWS)
     pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
     bases = pieces.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     bases = bases.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
