@@ -325,10 +325,7 @@ def _int_arithmetic(op: str, a: Val, b: Val) -> Val:
     if op in ("+", "-", "*") and fits:
         return Val(x + y if op == "+" else x - y if op == "-" else x * y, INT, low, high)
     if op == "%":
-        # -1 divides all, and the least integer overflows on it
-        if b.const and b.const[0] != -1:
-            return Val(F.try_mod(x, y), INT, low, high)
-        return Val(let(a, lambda p: let(b, lambda q: F.when(q == -1, F.when(p.isNotNull(), F.lit(0).cast("bigint"))).otherwise(F.try_mod(p.cast("bigint"), q.cast("bigint"))))), INT, low, high)
+        return Val(F.try_mod(x, y), INT, low, high)
     if op == "/":
         if b.const:
             if b.const[0] == 0:
@@ -336,7 +333,7 @@ def _int_arithmetic(op: str, a: Val, b: Val) -> Val:
             if fits:
                 return Val(F.call_function("div", x, y), INT, low, high)
         if fits:
-            return Val(F.call_function("div", x, let(b, lambda q: F.when(q != 0, q.cast("bigint")))), INT, low, high)
+            return Val(F.call_function("div", x, F.nullif(y, F.lit(0).cast("bigint"))), INT, low, high)
 
         def divided(p, q):
             p, q = p.cast("bigint"), q.cast("bigint")
@@ -359,8 +356,7 @@ def _int_arithmetic(op: str, a: Val, b: Val) -> Val:
 
 def _real_arithmetic(op: str, x: SparkColumn, y: SparkColumn) -> SparkColumn:
     if op == "%":
-        p, q = Val(_saturated(x), INT), Val(_saturated(y), INT)
-        return let(p, lambda m: let(q, lambda n: F.when(n == -1, F.when(m.isNotNull(), F.lit(0.0))).otherwise(F.try_mod(m, n).cast("double"))))
+        return F.try_mod(_saturated(x), _saturated(y)).cast("double")
     if op == "/":
         return F.nanvl(F.try_divide(x, y), null_of("double"))
     out = x + y if op == "+" else x - y if op == "-" else x * y
