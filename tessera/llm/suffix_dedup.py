@@ -44,10 +44,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import bucket_bounds, bucket_of, get, get_sorted, in_blocks, put, put_sorted
-from .common import mix, partitions, public_id, save, slices, text_bytes
+from .common import mix, public_id, save, slices, text_bytes
 
 LENGTH, SEED, SHALLOW = 50, 26, 24
 _MOST = np.uint64(2**64 - 1)
+_FACTORS = mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 _ASIDE, _KNOWN, _MARKS = 0, 1, 2
 _TO_BLOCK = "block int, kind int, bucket int, doc_id long, h1 long, payload binary"
 _TO_BLOCK_KIND = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("h1", pa.int64()), ("payload", pa.binary())])
@@ -73,6 +74,11 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Minimisers are small hashes; another mixing deals them evenly to buckets."""
+    return mix(h + np.uint64(0x9E3779B97F4A7C15))
+
+
 class Windows:
     """A slice's windows and their minimisers. Windows never cross texts."""
 
@@ -91,34 +97,42 @@ class Windows:
                 self.valid[a : z - length + 1] = True
         w = words_at(self.data)
         m = n - seed + 1
-        h = np.zeros(m, np.uint64)
-        for at in [*range(0, seed - 7, 8), seed - 8]:
-            h = mix(h * np.uint64(0xFF51AFD7ED558CCD) + w[at : at + m])
+        # one product for each eight bytes, summed and mixed: what collides only passes the sieve
+        h, some = np.zeros(m, np.uint64), np.empty(m, np.uint64)
+        for k, at in enumerate([*range(0, seed - 7, 8), seed - 8]):
+            np.multiply(w[at : at + m], _FACTORS[k], out=some)
+            h += some
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            np.right_shift(h, np.uint64(shift), out=some)
+            h ^= some
+            h *= np.uint64(factor)
         h |= np.uint64(1)  # never the 0 that stands for an invalid window
-        self.hash = h
         self.low = _sliding(h, span, np.minimum)
         top = np.zeros(m + span - 1, np.uint64)
-        top[span - 1 : span - 1 + count] = np.where(self.valid, self.low, np.uint64(0))
+        np.multiply(self.low, self.valid, out=top[span - 1 : span - 1 + count])
         # a seed is picked if it is the least of some window that holds it
         self.seeds = np.flatnonzero(_sliding(top, span, np.maximum)[:m] == h)
-        self.seed_hash = h[self.seeds]
-        self.span = span
+        self.raw = h[self.seeds]
+        self.seed_hash = _spread(self.raw)
+        self.span, self.hashes = span, m
 
     def candidates(self, shared: np.ndarray) -> np.ndarray:
         """Whether each window's minimiser is among the picked seeds that are shared."""
-        h = np.full(len(self.hash), _MOST, np.uint64)
-        h[self.seeds[shared]] = self.seed_hash[shared]
+        h = np.full(self.hashes, _MOST, np.uint64)
+        h[self.seeds[shared]] = self.raw[shared]
         return self.valid & (_sliding(h, self.span, np.minimum) == self.low) & (self.low != _MOST)
 
 
-def _slices(docs: pa.Table, aside: set) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """A block's slices without the texts set aside; and the ids."""
+def _slices(docs: pa.Table, aside: set) -> list[tuple[pa.RecordBatch, np.ndarray, Windows]]:
+    """A block's slices without the texts set aside: rows, ids and windows."""
+    out = []
     if docs.num_rows:
-        for part in slices(docs.combine_chunks().to_batches(), most=1 << 20):
+        for part in slices(docs.combine_chunks().to_batches(), most=1 << 18):
             keep = np.array([x not in aside for x in zip(part.column("doc_id").to_pylist(), part.column("h1").to_pylist())], bool)
             part = part.filter(pa.array(keep)) if not keep.all() else part
             if part.num_rows:
-                yield part, part.column("doc_id").to_numpy()
+                out.append((part, part.column("doc_id").to_numpy(), Windows(part.column("text"))))
+    return out
 
 
 def _aside(table: pa.Table) -> set:
@@ -130,11 +144,10 @@ def _block_of(docs: pa.Table, more: pa.Table) -> int:
     return (docs if docs.num_rows else more)["block"][0].as_py()
 
 
-def _block_seeds(docs: pa.Table, aside: set) -> tuple[np.ndarray, np.ndarray]:
+def _block_seeds(block: list) -> tuple[np.ndarray, np.ndarray]:
     """The distinct minimisers of a block, sorted, and whether several documents of it hold one."""
     hashes, ids = [], []
-    for part, doc in _slices(docs, aside):
-        w = Windows(part.column("text"))
+    for _, doc, w in block:
         if len(w.seeds):
             of = np.searchsorted(w.offsets, w.seeds, "right") - 1
             h, d = w.seed_hash, doc[of]
@@ -155,7 +168,7 @@ def _block_seeds(docs: pa.Table, aside: set) -> tuple[np.ndarray, np.ndarray]:
 
 def _ask_seeds(buckets: int):
     def run(docs: pa.Table, more: pa.Table) -> pa.Table:
-        h, many = _block_seeds(docs, _aside(more))
+        h, many = _block_seeds(_slices(docs, _aside(more)))
         bounds = bucket_bounds(h, buckets).tolist()
         some = [k for k in range(buckets) if bounds[k] < bounds[k + 1]]
         block = _block_of(docs, more)
@@ -202,13 +215,13 @@ class _Runs:
 
     def __init__(self, docs: pa.Table, more: pa.Table, buckets: int):
         aside = _aside(more)
-        seeds, _ = _block_seeds(docs, aside)
+        parts = _slices(docs, aside)
+        seeds, _ = _block_seeds(parts)
         shared = _bits(more, _KNOWN, np.diff(bucket_bounds(seeds, buckets)))
         data, base = [], 0
         start, windows, seed, doc, row, prints = [], [], [], [], [], []
         rows = 0
-        for part, ids in _slices(docs, aside):
-            w = Windows(part.column("text"))
+        for part, ids, w in parts:
             if len(w.seeds):
                 at = np.flatnonzero(w.candidates(shared[np.searchsorted(seeds, w.seed_hash)]))
                 if len(at):
@@ -230,7 +243,7 @@ class _Runs:
                         h[k] = int.from_bytes(hashlib.blake2b(raw[first[k] : first[k] + size[k]], digest_size=8).digest(), "little")
                     start.append(first + base)
                     windows.append(n)
-                    seed.append(low[begin])
+                    seed.append(_spread(low[begin]))
                     prints.append(h)
                     row.append(of[begin] + rows)
                     doc.append(ids[of[begin]])
@@ -393,7 +406,7 @@ def _removed(docs: pa.Table, more: pa.Table, buckets: int) -> Iterator[tuple[int
     covered = np.cumsum(change[:-1]) > 0
     base = 0
     if docs.num_rows:
-        for part in slices(docs.combine_chunks().to_batches(), most=1 << 20):
+        for part in slices(docs.combine_chunks().to_batches(), most=1 << 18):
             for doc, h1, text in zip(part.column("doc_id").to_pylist(), part.column("h1").to_pylist(), part.column("text").to_pylist()):
                 raw = text.encode()
                 if (doc, h1) in aside:
@@ -433,9 +446,7 @@ def _spans(buckets: int):
 
 
 def _apply(df: DataFrame, id_col: str, text_col: str, last, schema: str) -> DataFrame:
-    spark = df.sparkSession
-    buckets = partitions(spark)
-    docs = in_blocks(df, id_col, text_col)
+    docs, buckets = in_blocks(df, id_col, text_col)
     # texts that another document has as well: a few bytes of each document are compared, not its text
     ids = docs.select("block", "doc_id", "h1", F.xxhash64(F.lit(1), "text").alias("h2"))
     least = ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
