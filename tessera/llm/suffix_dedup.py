@@ -210,6 +210,21 @@ def _bits(more: pa.Table, kind: int, sizes: np.ndarray) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, bool)
 
 
+def _prints(data: np.ndarray, word: np.ndarray, first: np.ndarray, windows: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
+    """64 bits for each run of windows, from its text."""
+    size = windows + LENGTH - 1
+    h = mix(windows.astype(np.uint64) + np.asarray(salt, np.uint64))
+    short = size <= 128
+    for step in range(0, 128, 8):
+        on = np.flatnonzero(short & (step < size))
+        if len(on):
+            here = first[on] + np.minimum(step, size[on] - 8)
+            h[on] = mix(h[on] * np.uint64(0xFF51AFD7ED558CCD) + word[here])
+    for k in np.flatnonzero(~short).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[first[k] : first[k] + size[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 class _Runs:
     """A block's runs of candidate windows: where they stand, and which are equal."""
 
@@ -219,8 +234,7 @@ class _Runs:
         seeds, _ = _block_seeds(parts)
         shared = _bits(more, _KNOWN, np.diff(bucket_bounds(seeds, buckets)))
         data, base = [], 0
-        start, windows, seed, doc, row, prints = [], [], [], [], [], []
-        rows = 0
+        start, windows, seed, doc, prints = [], [], [], [], []
         for part, ids, w in parts:
             if len(w.seeds):
                 at = np.flatnonzero(w.candidates(shared[np.searchsorted(seeds, w.seed_hash)]))
@@ -230,26 +244,15 @@ class _Runs:
                     new = np.append(True, (at[1:] != at[:-1] + 1) | (low[1:] != low[:-1]) | (of[1:] != of[:-1]))
                     begin = np.flatnonzero(new)
                     n = np.diff(np.append(begin, len(at)))
-                    word = words_at(w.data)
-                    first, size = at[begin], n + LENGTH - 1
-                    h = mix(low[begin] + n.astype(np.uint64))
-                    short = size <= 128
-                    for step in range(0, 128, 8):
-                        here = np.minimum(step, size - 8)
-                        on = short & (step < size)
-                        h[on] = mix(h[on] * np.uint64(0xFF51AFD7ED558CCD) + word[(first + here)[on]])
-                    raw = w.data.tobytes()
-                    for k in np.flatnonzero(~short).tolist():
-                        h[k] = int.from_bytes(hashlib.blake2b(raw[first[k] : first[k] + size[k]], digest_size=8).digest(), "little")
+                    first = at[begin]
+                    h = _prints(w.data, words_at(w.data), first, n, low[begin])
                     start.append(first + base)
                     windows.append(n)
                     seed.append(_spread(low[begin]))
                     prints.append(h)
-                    row.append(of[begin] + rows)
                     doc.append(ids[of[begin]])
             data.append(w.data)
             base += len(w.data)
-            rows += part.num_rows
         self.data = np.concatenate(data) if data else np.zeros(0, np.uint8)
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.start, self.windows, self.seed, self.doc, self.prints = join(start, np.int64), join(windows, np.int64), join(seed, np.uint64), join(doc, np.int64), join(prints, np.uint64)
@@ -370,16 +373,26 @@ def _sort_bucket(asked: pa.Table) -> pa.Table:
     texts = [get(x, "u1") for x in asked["texts"].to_pylist()]
     n, doc = np.concatenate(windows), np.concatenate(docs)
     data = np.concatenate([*texts, np.zeros(LENGTH + 8, np.uint8)])
+    word = words_at(data)
     size = n + LENGTH - 1
     start = np.cumsum(size) - size
-    total = int(n.sum())
-    starts = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(total)
-    owner = np.repeat(doc, n)
-    order, new = sort_suffixes(words_at(data), starts)
-    begin = np.flatnonzero(new)
-    least = np.minimum.reduceat(owner[order], begin)
-    earlier = np.empty(total, bool)
-    earlier[order] = least[np.cumsum(new) - 1] < owner[order]
+    # equal runs of several blocks are sorted once, for the least document of all
+    prints = _prints(data, word, start, n, 0)
+    order = np.lexsort((doc, prints))
+    first = np.append(True, prints[order][1:] != prints[order][:-1])
+    one = order[first]
+    which = np.empty(len(n), np.int64)
+    which[order] = np.cumsum(first) - 1
+    begin = np.cumsum(n[one]) - n[one]
+    total = int(n[one].sum())
+    starts = np.repeat(start[one] - begin, n[one]) + np.arange(total)
+    owner = np.repeat(doc[one], n[one])
+    order, new = sort_suffixes(word, starts)
+    least = np.empty(total, np.int64)
+    least[order] = np.minimum.reduceat(owner[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    # back to every run's windows
+    at = np.repeat(begin[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    earlier = least[at] < np.repeat(doc, n)
     ends = np.cumsum([int(x.sum()) for x in windows])
     return _to_block(_MARKS, asked, [put(np.packbits(x)) for x in np.split(earlier, ends[:-1])])
 
