@@ -18,7 +18,8 @@ half of 4 such deviations, or half the whole distance (which loses no pair at
 all) if that is less. Against brute force the tests measure a recall of 1.
 
 Bounds: ``sample`` points (those with the smallest hash) fit the centres, one
-for each ``cell_points`` points and at most ``most_cells``.
+for each ``cell_points`` points and at most ``most_cells``. A block has at most
+``block_points`` points and ``BLOCK_BYTES``.
 
 Defined cases: a vector that is null, zero, or holds a null or a non-finite
 number links with nothing and is kept; vectors of different lengths never link;
@@ -40,6 +41,10 @@ from .common import NO_ID, save
 from .components import components
 
 
+#: Bytes of vectors that a block holds at most.
+BLOCK_BYTES = 32 << 20
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unit vectors as bytes of doubles; null for what links with nothing."""
     for b in batches:
@@ -159,7 +164,7 @@ def _compare(threshold: float):
     return run
 
 
-def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, sample: int = 20_000, cell_points: int = 2000, most_cells: int = 1024, block_points: int = 2048, reach: float | None = None) -> DataFrame:
+def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, sample: int = 20_000, cell_points: int = 2000, most_cells: int = 1024, block_points: int = 8192, reach: float | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every vector."""
     spark = df.sparkSession
     vectors = df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
@@ -181,7 +186,7 @@ def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", t
     homes = points.mapInArrow(_homes(spark.sparkContext.broadcast(centres), reaches), "point long, dim int, cell long, home long, cells binary, unit binary")
     homes = save(homes, "cells")
     # at most most_cells x 8 rows, and one for each further length of vectors
-    blocks = homes.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block_points).cast("int").alias("blocks"))
+    blocks = homes.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / F.greatest(F.lit(1), F.least(F.lit(block_points), F.expr(f"{BLOCK_BYTES} div (8 * dim)")))).cast("int").alias("blocks"))
     dealt = homes.join(blocks, ["dim", "cell"]).join(points.select("point", "times"), "point").withColumn("own", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     dealt = dealt.withColumn("side", F.when(F.col("own") == F.col("i"), 0).otherwise(1)).select("dim", "cell", "i", "j", "point", "home", "side", "times", "cells", "unit")
