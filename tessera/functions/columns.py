@@ -51,6 +51,8 @@ class Val:
     time: SparkColumn | None = None
     #: A column of a frame or a constant: what may stand several times in a plan.
     leaf: bool = False
+    #: A DYN that is never a text or a blob.
+    numeric: bool = False
 
 
 def let(x: Val, f) -> SparkColumn:
@@ -226,18 +228,18 @@ def _number_of_text(t: Val) -> SparkColumn:
 
 def number(x: Val) -> Val:
     """An operand of arithmetic: INT, REAL, NULL, or a DYN of the two."""
-    if x.cls in (INT, REAL, NULL):
+    if x.cls in (INT, REAL, NULL) or x.numeric:
         return x
     if x.const:
         return constant(v.number(x.const[0]))
     if x.cls in (TEXT, BLOB):
-        return Val(_number_of_text(Val(text(x), TEXT)), DYN)
+        return Val(_number_of_text(Val(text(x), TEXT)), DYN, numeric=True)
 
     def of_dyn(c):
         t = F.coalesce(c["t"], c["b"].cast("string"))
         return F.when(c["cls"] <= 2, c).otherwise(_number_of_text(Val(t, TEXT)))
 
-    return Val(let(x, of_dyn), DYN)
+    return Val(let(x, of_dyn), DYN, numeric=True)
 
 
 def real(x: Val) -> SparkColumn:
@@ -309,13 +311,13 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
                     whole = whole & (z.col["cls"] == 1)
             return F.when(whole, dyn(_int_arithmetic(op, *ints))).otherwise(dyn(Val(as_real, REAL)))
 
-        return Val(let(a, lambda x: let(b, lambda y: both(x, y))), DYN)
+        return Val(let(a, lambda x: let(b, lambda y: both(x, y))), DYN, numeric=True)
     return Val(_real_arithmetic(op, real(a), real(b)), REAL)
 
 
 def _bound(x: Val, col: SparkColumn) -> Val:
     """A value by another name for its column."""
-    return Val(col, x.cls, x.low, x.high, x.aff, leaf=True)
+    return Val(col, x.cls, x.low, x.high, x.aff, leaf=True, numeric=x.numeric)
 
 
 def _int_arithmetic(op: str, a: Val, b: Val) -> Val:
@@ -341,17 +343,21 @@ def _int_arithmetic(op: str, a: Val, b: Val) -> Val:
             whole = F.call_function("div", F.when(~over, p), F.when(q != 0, q))
             return F.when(over, _struct(REAL, F.lit(float(2**63)))).otherwise(dyn(Val(whole, INT)))
 
-        return Val(let(a, lambda p: let(b, lambda q: divided(p, q))), DYN)
+        return Val(let(a, lambda p: let(b, lambda q: divided(p, q))), DYN, numeric=True)
     f = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op]
 
     def promoted(p, q):
         p, q = p.cast("bigint"), q.cast("bigint")
         u, w = p.cast("double"), q.cast("double")
         wide = u + w if op == "+" else u - w if op == "-" else u * w
-        whole = f(p, q)
+        # a double tells but for a narrow band around 2^63 whether the result fits; the checked
+        # operation raises and catches for each row that does not
+        size = F.abs(wide)
+        plain_ = p + q if op == "+" else p - q if op == "-" else p * q
+        whole = F.when(size < F.lit(9.2e18), plain_).when(size < F.lit(9.3e18), f(p, q))
         return F.when(p.isNull() | q.isNull(), null_of(DYN_TYPE.simpleString())).when(whole.isNotNull(), _struct(INT, whole)).otherwise(_struct(REAL, wide))
 
-    return Val(let(a, lambda p: let(b, lambda q: promoted(p, q))), DYN)
+    return Val(let(a, lambda p: let(b, lambda q: promoted(p, q))), DYN, numeric=True)
 
 
 def _real_arithmetic(op: str, x: SparkColumn, y: SparkColumn) -> SparkColumn:
@@ -516,6 +522,8 @@ def cast(x: Val, type_name: str) -> Val:
 
             return let(Val(_leading(t, _INTEGER), TEXT), of_lead)
 
+        if x.numeric:
+            return Val(let(x, lambda c: F.coalesce(c["i"], _cut(c["r"]))), INT, aff=aff)
         if x.cls == DYN:
             return Val(let(x, lambda c: F.when(c["cls"] == 1, c["i"]).when(c["cls"] == 2, _saturated(c["r"])).otherwise(whole(F.coalesce(c["t"], c["b"].cast("string"))))), INT, aff=aff)
         return Val(whole(text(x)), INT, aff=aff)

@@ -47,6 +47,8 @@ class Plan:
     df: DataFrame
     names: list[str]
     classes: list[str] = field(default_factory=list)
+    #: Which of the DYN columns hold numbers only.
+    numeric: list[bool] = field(default_factory=list)
 
 
 def output_name(o: Output) -> str:
@@ -122,12 +124,12 @@ def plan_select(spark: SparkSession, s: Select, source: Source | None) -> Plan:
     if rows is not None:
         df = df.limit(rows)
     df = df.select(*(F.col(f"o{i}") for i in range(len(vals)))).toDF(*names)
-    return Plan(df, names, [x.cls for x in vals])
+    return Plan(df, names, [x.cls for x in vals], [x.numeric for x in vals])
 
 
 def _after(x: Val, col: SparkColumn) -> Val:
     """A value once it is a column of a new frame."""
-    return Val(col, x.cls, x.low, x.high, x.aff, leaf=True)
+    return Val(col, x.cls, x.low, x.high, x.aff, leaf=True, numeric=x.numeric)
 
 
 def _group(df: DataFrame, s: Select, outputs: tuple[Output, ...], scope: Scope, numbered: bool) -> tuple[DataFrame, Scope]:
@@ -215,7 +217,7 @@ def _aggregate(a: Aggregate, scope: Scope) -> tuple[SparkColumn, Val]:
             whole = c.int_col(n)
             return (F.sum_distinct(whole) if a.distinct else F.sum(whole)), Val(F.lit(0), INT)
         wide = n.col.cast("decimal(38,0)")
-        return _sum_or_real(F.sum_distinct(wide) if a.distinct else F.sum(wide)), Val(F.lit(0), DYN)
+        return _sum_or_real(F.sum_distinct(wide) if a.distinct else F.sum(wide)), Val(F.lit(0), DYN, numeric=True)
     whole, reals = n.col["i"].cast("decimal(38,0)"), c.real(n)
     # texts add up to a REAL; so do any REALs
     kept = x.col["cls"] == 1 if x.cls == DYN else F.lit(False)
@@ -309,10 +311,10 @@ def collapse(plan: Plan, types: str) -> DataFrame:
     cols = []
     names = [f"c{i}" for i in range(len(plan.names))]
     df = plan.df.toDF(*names)
-    for name, cls, kind in zip(names, plan.classes, types):
+    for name, cls, numeric, kind in zip(names, plan.classes, plan.numeric, types):
         col = F.col(name)
         if cls == DYN:
-            x = Val(col, DYN, leaf=True)
+            x = Val(col, DYN, leaf=True, numeric=numeric)
             col = {"I": lambda: c.cast(x, "INTEGER").col, "R": lambda: c.real(x), "T": lambda: c.text(x)}[kind]()
         cols.append(col)
     return df.select(*cols).toDF(*plan.names)
