@@ -119,7 +119,7 @@ CHANGES: dict[str, tuple[str, list[str], str, str]] = {
     "dml_update_swap": ("part", ["UPDATE part SET p_name = p_brand, p_brand = p_name WHERE p_size > 25"], "SELECT p_partkey, p_name, p_brand FROM part", "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_brand ELSE p_name END AS p_name, CASE WHEN p_size > 25 THEN p_name ELSE p_brand END AS p_brand FROM part"),
     "dml_delete": ("orders", ["DELETE FROM orders WHERE o_orderstatus IN ('F', 'P') OR o_totalprice < 100000"], "SELECT o_orderkey, o_totalprice FROM orders", "SELECT o_orderkey, o_totalprice FROM orders WHERE NOT (o_orderstatus IN ('F', 'P') OR o_totalprice < 100000)"),
     "dml_delete_all": ("nation", ["DELETE FROM nation"], "SELECT COUNT(*) AS n FROM nation", "SELECT CAST(0 AS BIGINT) AS n"),
-    "ddl_add_column": ("region", ["ALTER TABLE region ADD COLUMN note TEXT DEFAULT 'none'", "ALTER TABLE region ADD COLUMN n INTEGER", "UPDATE region SET n = r_regionkey * 10 WHERE r_regionkey > 2"], "SELECT * FROM region", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name, 'none' AS note, CASE WHEN r_regionkey > 2 THEN CAST(r_regionkey * 10 AS BIGINT) END AS n FROM region"),
+    "ddl_add_column": ("region", ["ALTER TABLE region ADD COLUMN note TEXT DEFAULT 'none'", "ALTER TABLE region ADD COLUMN n INTEGER", "UPDATE region SET n = r_regionkey * 10 WHERE r_regionkey > 2"], "SELECT r_regionkey, r_name, note, CAST(n AS INTEGER) AS n FROM region", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name, 'none' AS note, CASE WHEN r_regionkey > 2 THEN CAST(r_regionkey * 10 AS BIGINT) END AS n FROM region"),
     "ddl_rename": ("supplier", ["CREATE INDEX by_nation ON supplier (s_nationkey DESC)", "ALTER TABLE supplier RENAME TO vendor"], "SELECT type, name, tbl_name, rootpage FROM sqlite_master", "SELECT * FROM (VALUES ('index', 'by_nation', 'vendor', CAST(0 AS BIGINT)), ('table', 'vendor', 'vendor', 0)) t(type, name, tbl_name, rootpage)"),
     "ddl_constraints": ("region", ["CREATE TABLE items (id INTEGER PRIMARY KEY, name TEXT NOT NULL UNIQUE, qty INTEGER DEFAULT (2 + 3) CHECK (qty > 0))", "INSERT INTO items (id, name) VALUES (1, 'a')", "INSERT INTO items VALUES (2, 'b', 7)", "INSERT INTO items VALUES ('3', 'c', DEFAULT)"], "SELECT * FROM items", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a', CAST(5 AS BIGINT)), (2, 'b', 7), (3, 'c', 5)) t(id, name, qty)"),
     "tx_commit": ("nation", ["BEGIN", "DELETE FROM nation WHERE n_regionkey = 1", "UPDATE nation SET n_name = 'X' WHERE n_regionkey = 2", "COMMIT"], "SELECT n_nationkey, n_name FROM nation", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CASE WHEN n_regionkey = 2 THEN 'X' ELSE n_name END AS n_name FROM nation WHERE n_regionkey <> 1"),
