@@ -12,13 +12,14 @@ many tasks. A block pair emits counts and a spanning forest, never its pairs. A
 pair with two homes that meets in both cells counts in the lower one only.
 Components come from the forests' links; a group's smallest id represents it.
 
-``reach``: the longest distance that the threshold allows has, in d dimensions, a
-projection on a given plane's normal of about distance / sqrt(d); the default is
-half of 4 such deviations, or half the whole distance (which loses no pair at
-all) if that is less. Against brute force the tests measure a recall of 1.
-
-Bounds: ``sample`` points (those with the smallest hash) fit the centres, one
-for each ``cell_points`` points and at most ``most_cells``. A block has at most
+``reach`` is half of the longest distance that the threshold allows, at every size
+and in every dimension, so no pair is lost. Where vectors fill many directions
+alike, that copies most points into most cells; the number of cells (down to a
+single one, in which every block meets every other) is therefore the one that
+has the fewest pairs to compare on the sample. It decides the cost only.
+
+Bounds: ``sample`` points (those with the smallest hash) fit the centres, at most
+one for each ``cell_points`` points and ``most_cells`` in all. A block has at most
 ``block_points`` points and ``BLOCK_BYTES``.
 
 Defined cases: a vector that is null, zero, or holds a null or a non-finite
@@ -73,6 +74,29 @@ def spherical_kmeans(x: np.ndarray, cells: int, rounds: int = 12, seed: int = 11
     return centres
 
 
+def _cells(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each vector's cell, and the cells it is in as (vector, cell), sorted."""
+    s = x @ c.T
+    home = s.argmax(axis=1)
+    best = s[np.arange(len(x)), home]
+    apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))[home]
+    return home, *np.nonzero(best[:, None] - s <= reach * apart + 1e-12)
+
+
+def _fit(x: np.ndarray, cells: int, reach: float) -> np.ndarray | None:
+    """Centres of at most ``cells`` cells, as many as have the fewest pairs to compare; None for a single cell."""
+    fitted, fewest = None, float(len(x)) ** 2
+    while cells > 1:
+        c = spherical_kmeans(x, cells)
+        held = np.zeros(len(c))
+        for low in range(0, len(x), 1024):
+            held += np.bincount(_cells(x[low : low + 1024], c, reach)[2], minlength=len(c))
+        if held @ held < fewest:
+            fitted, fewest = c, float(held @ held)
+        cells //= 4
+    return fitted
+
+
 def _homes(centres, reaches: dict[int, float]):
     """Each point's cell, and the cells into which it is copied."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,11 +112,7 @@ def _homes(centres, reaches: dict[int, float]):
                     none = np.zeros(len(which), np.int64)
                     rows.append((which, none, none, [none[:1].astype(np.int32).tobytes()] * len(which)))
                     continue
-                s = x @ c.T
-                home = s.argmax(axis=1)
-                best = s[np.arange(len(x)), home]
-                apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))[home]
-                i, cell = np.nonzero(best[:, None] - s <= reaches[dim] * apart + 1e-12)
+                home, i, cell = _cells(x, c, reaches[dim])
                 ends = np.searchsorted(i, np.arange(len(x) + 1)).tolist()
                 own = [cell[u:v].astype(np.int32).tobytes() for u, v in zip(ends[:-1], ends[1:])]
                 rows.append((which[i], home[i], cell, [own[k] for k in i.tolist()]))
@@ -179,10 +199,10 @@ def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", t
     for r in sizes:
         own = [u for d, u in zip(dims, units) if d == r.dim]
         cells = min(most_cells, max(1, r.n // cell_points), len(own))
-        if cells > 1:
-            centres[r.dim] = spherical_kmeans(np.frombuffer(b"".join(own), np.float64).reshape(-1, r.dim), cells)
         longest = math.sqrt(max(0.0, 2 - 2 * threshold))
-        reaches[r.dim] = min(longest / 2, 2 * longest / math.sqrt(r.dim)) if reach is None else reach
+        reaches[r.dim] = longest / 2 if reach is None else reach
+        if cells > 1 and (fitted := _fit(np.frombuffer(b"".join(own), np.float64).reshape(-1, r.dim), cells, reaches[r.dim])) is not None:
+            centres[r.dim] = fitted
     homes = points.mapInArrow(_homes(spark.sparkContext.broadcast(centres), reaches), "point long, dim int, cell long, home long, cells binary, unit binary")
     homes = save(homes, "cells")
     # at most most_cells x 8 rows, and one for each further length of vectors

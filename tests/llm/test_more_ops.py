@@ -238,6 +238,23 @@ def test_embeddings(spark, options):
     assert embedding_dedup.dedup_embeddings(df, **options).columns == df.columns
 
 
+def test_embeddings_lose_no_link_in_a_subspace(spark):
+    # 64 dimensions that hold 4: a difference lies along a plane's normal far more than 1 / sqrt(64) of it
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 4)) @ rng.normal(size=(4, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert embedding_dedup._fit(x, 60, math.sqrt(0.2) / 2) is not None  # more cells than one
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.link(df, cell_points=50).collect()}
+    assert [got[i] for i in range(3000)] == ((x @ x.T >= 0.9).sum(axis=1) - 1).tolist()
+
+
+def test_embeddings_choose_cells_by_work(spark):
+    x = np.random.default_rng(9).normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert embedding_dedup._fit(x, 40, math.sqrt(0.2) / 2) is None  # copies would cost more than one cell saves
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
