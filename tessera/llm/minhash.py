@@ -5,15 +5,18 @@ each labelled with how often it has occurred before. For each of ``sketches`` ha
 the ``minima`` smallest labelled k-mers are taken, in the order in which
 they stand in the text; their hash is one sketch. Two texts share a sketch the
 more likely the smaller their edit distance. Texts that share one are candidates:
-each with the first text of the sketch's group (round one), and each with its
-neighbour in the group, sorted by another sketch, if the two are still in
-different components (round two); so a group costs as many comparisons as it has
-texts, however large. Candidates are verified by banded alignment: the words'
+each with the first text of the sketch's group (round one), and then each with
+every other one of the group, if the two are still in different components
+(round two); so each two texts that share a sketch are in one component or have
+been compared. What is compared is screened first by a bound that loses nothing:
+a text's words are counted in ``BAG`` classes, and an edit changes the counts by
+one word gone and one word come at most. Groups are screened in pairs of blocks
+of ``BLOCK`` texts. Candidates are verified by banded alignment: the words'
 edit distance within a band of (1 - similarity) times the longer text, bit by bit
 in parallel (Myers 1999, Hyyro 2003). Verified links make components.
 
-Equal texts are one node from the start. A large group of candidates is compared
-in pieces, each with a copy of the group's first text.
+Equal texts are one node from the start. A text with many candidates is compared
+with them in pieces, each with a copy of the text.
 
 Similarity: 1 - distance / words of the longer text, at least ``similarity``.
 
@@ -34,10 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Words, documents, drop, mix, save, slices
+from .common import NO_ID, Words, documents, drop, mix, partitions, save, slices
 from .components import components
 
-_SKETCHED = "doc_id long, h1 long, h2 long, words long, sketches array<long>"
+_SKETCHED = "doc_id long, h1 long, h2 long, words long, bag binary, sketches array<long>"
+_PAIRS = pa.schema([("hub", pa.int64()), ("node", pa.int64())])
+#: Classes of words that a bag counts (to 255 each; less is still a bound), and texts of a block.
+BAG, BLOCK = 256, 1000
 _MOST = np.uint64(2**64 - 1)
 
 
@@ -91,6 +97,75 @@ def order_sketches(h: np.ndarray, first: np.ndarray, sketches: int, minima: int)
     return out
 
 
+def _bags(words: Words) -> np.ndarray:
+    """A row for each text: how many of its words are in each class."""
+    n = len(words.counts)
+    of = words.text_of * BAG + (words.hash % np.uint64(BAG)).astype(np.int64)
+    return np.minimum(np.bincount(of, minlength=n * BAG), 255).astype(np.uint8).reshape(n, BAG)
+
+
+def _may_be_near(words_a: np.ndarray, bags_a: np.ndarray, words_b: np.ndarray, bags_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs the alignment could accept: no distance is less than the words that one bag has and the other lacks."""
+    out = np.zeros(len(words_a), bool)
+    for low in range(0, len(out), 4096):
+        at = slice(low, low + 4096)
+        a, b = bags_a[at], bags_b[at]
+        apart = np.maximum(a.sum(axis=1, dtype=np.int64), b.sum(axis=1, dtype=np.int64)) - np.minimum(a, b).sum(axis=1, dtype=np.int64)
+        out[at] = apart <= ((1 - similarity) * np.maximum(words_a[at], words_b[at]) + 1e-9).astype(np.int64)
+    return out
+
+
+def _bag_rows(bags: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(bags.to_pylist()), np.uint8).reshape(-1, BAG)
+
+
+def _screen(similarity: float):
+    """The pairs that the alignment could accept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = _may_be_near(b.column("hub_words").to_numpy(), _bag_rows(b.column("hub_bag")), b.column("words").to_numpy(), _bag_rows(b.column("bag")), similarity)
+            yield b.select(["hub", "node"]).filter(pa.array(ok))
+
+    return run
+
+
+def _open(similarity: float):
+    """Of each sketch and pair of blocks of a bucket: the pairs in different components that the alignment could accept."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sketch, i, j, own, node, group, words = (table[c].to_numpy() for c in ("sketch", "i", "j", "own", "node", "of", "words"))
+        bags = _bag_rows(table["bag"])
+        order = np.lexsort((j, i, sketch))
+        key = np.stack([sketch, i, j])[:, order]
+        new = np.ones(len(order), bool)
+        new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+        ends = [*np.flatnonzero(new).tolist(), len(order)]
+        found = [np.zeros((0, 2), np.int64)]
+        for u, v in zip(ends[:-1], ends[1:]):
+            at = order[u:v]
+            same = i[at[0]] == j[at[0]]
+            left = at if same else at[own[at] == i[at[0]]]
+            right = at if same else at[own[at] == j[at[0]]]
+            for low in range(0, len(left), 256):
+                part = left[low : low + 256]
+                a, b = words[part][:, None], words[right][None, :]
+                ok = (group[part][:, None] != group[right][None, :]) & (np.minimum(a, b) >= np.maximum(a, b) * similarity - 1e-6)
+                if same:
+                    ok &= node[part][:, None] < node[right][None, :]
+                x, y = np.nonzero(ok)
+                x, y = part[x], right[y]
+                near = _may_be_near(words[x], bags[x], words[y], bags[y], similarity) if len(x) else np.zeros(0, bool)
+                x, y = node[x[near]], node[y[near]]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            if len(found) > 1000:
+                found = [np.unique(np.concatenate(found), axis=0)]
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_PAIRS)
+
+    return run
+
+
 def _sketch(k: int, sketches: int, minima: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -98,7 +173,7 @@ def _sketch(k: int, sketches: int, minima: int):
             got = order_sketches(*_labelled(w, k), sketches, minima).view(np.int64)
             h2 = [xxhash.xxh3_64_intdigest(x) - 2**63 for x in b.column("text").to_pylist()]
             arrays = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, sketches), pa.int32()), pa.array(got.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h1"), pa.array(h2, pa.int64()), pa.array(w.counts.astype(np.int64)), arrays], names=["doc_id", "h1", "h2", "words", "sketches"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h1"), pa.array(h2, pa.int64()), pa.array(w.counts.astype(np.int64)), pa.array([x.tobytes() for x in _bags(w)], pa.binary()), arrays], names=["doc_id", "h1", "h2", "words", "bag", "sketches"])
 
     return run
 
@@ -162,7 +237,6 @@ def _verify(similarity: float):
 
 def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, piece: int = 100) -> DataFrame:
     """The pairs (hub, node) that the alignment accepts, as links (a, b)."""
-    pairs = save(pairs, "pairs")
     needed = pairs.select(F.col("node")).union(pairs.select(F.col("hub"))).distinct().join(nodes.select("node", "least", "h1"), "node")
     texts = docs.join(needed.hint("shuffle_hash"), (docs["doc_id"] == needed["least"]) & (docs["h1"] == needed["h1"])).select("node", "text").dropDuplicates(["node"])
     texts = save(texts, "texts")
@@ -171,7 +245,6 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: floa
     hubs = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", "piece", "text")
     hubs = hubs.select(F.col("hub").alias("first"), F.col("piece").alias("first_piece"), F.col("text").alias("first_text"))
     out = save(dealt.groupBy("hub", "piece").cogroup(hubs.groupBy("first", "first_piece")).applyInArrow(_verify(similarity), "a long, b long"), "links")
-    drop(pairs)
     drop(texts)
     return out
 
@@ -180,34 +253,34 @@ def near_groups(df: DataFrame, similarity: float = 0.8, k: int = 5, sketches: in
     """(doc_id, h1, class_id, kept): the class is the smallest id of the document's group."""
     docs = documents(df, id_col, text_col).withColumn("h1", F.xxhash64("text"))
     sketched = save(docs.mapInArrow(_sketch(k, sketches, minima), _SKETCHED), "sketches")
-    nodes = sketched.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first("words").alias("words"), F.first("sketches").alias("sketches"))
+    nodes = sketched.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first("words").alias("words"), F.first("bag").alias("bag"), F.first("sketches").alias("sketches"))
     nodes = save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     # a sketch's number is in its hash, so equal sketches are of one band
-    bands = nodes.filter("words > 0").select("node", "sketches", F.posexplode("sketches").alias("band", "sketch"))
-    bands = bands.select("sketch", "node", F.element_at("sketches", F.pmod(F.col("band") + 1, F.lit(sketches)) + 1).alias("other"))
+    bands = nodes.filter("words > 0").select("node", F.explode("sketches").alias("sketch"))
     groups = bands.groupBy("sketch").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1")
     members = save(bands.join(groups, "sketch"), "bands")
-    lengths = nodes.select("node", "words")
-
-    def near(pairs: DataFrame) -> DataFrame:  # the alignment could not accept other lengths
-        a, b = lengths.toDF("hub", "hub_words"), lengths
-        pairs = pairs.join(a, "hub").join(b, "node")
-        return pairs.filter(F.least("words", "hub_words") >= F.greatest("words", "hub_words") * F.lit(similarity) - 1e-6).select("hub", "node")
-
-    first = near(members.filter(F.col("hub") != F.col("node")).select("hub", "node").distinct())
+    texts = nodes.select("node", "words", "bag")
+    pairs = members.filter(F.col("hub") != F.col("node")).select("hub", "node").distinct()
+    pairs = pairs.join(texts.toDF("hub", "hub_words", "hub_bag"), "hub").join(texts, "node")
+    # the alignment could not accept other lengths
+    pairs = pairs.filter(F.least("words", "hub_words") >= F.greatest("words", "hub_words") * F.lit(similarity) - 1e-6)
+    first = save(pairs.mapInArrow(_screen(similarity), "hub long, node long"), "pairs")
     links = _links(docs, nodes, first, similarity)
     known = save(components(links), "groups")
-    # neighbours in a group, sorted by another sketch; a large group is sorted in pieces
-    piece = Window.partitionBy("sketch", "piece").orderBy("other", "node")
-    beside = members.withColumn("piece", F.pmod(F.xxhash64("other"), F.ceil(F.col("n") / 1000)))
-    beside = beside.withColumn("hub", F.lag("node").over(piece)).filter("hub is not null")
-    beside = beside.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct()
-    left, right = known.toDF("hub", "hub_group"), known.toDF("node", "node_group")
-    second = beside.join(left, "hub", "left").join(right, "node", "left").filter(F.coalesce("hub_group", "hub") != F.coalesce("node_group", "node")).select("hub", "node")
-    second = near(second)
+    # groups of more than one component: all of their pairs between components
+    placed = members.select("sketch", "node", "n").join(known, "node", "left").withColumn("of", F.coalesce("component", "node"))
+    mixed = placed.groupBy("sketch").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high").select("sketch")
+    placed = placed.join(mixed, "sketch").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    placed = save(placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("sketch", "node", "of", "blocks", "own"), "open")
+    rows = placed.agg(F.sum("blocks")).collect()[0][0] or 0
+    buckets = max(partitions(df.sparkSession), rows // 20_000)
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("sketch", "i", "j"), F.lit(buckets)).cast("int")).join(texts, "node").select("bucket", "sketch", "i", "j", "own", "node", "of", "words", "bag")
+    second = dealt.groupBy("bucket").applyInArrow(_open(similarity), "hub long, node long").distinct()
+    second = save(second.join(first, ["hub", "node"], "left_anti"), "pairs")
     more = _links(docs, nodes, second, similarity)
     found = components(links.union(more)).withColumnRenamed("component", "of")
-    for done in (members, links, more, known):
+    for done in (members, placed, first, second, links, more, known):
         drop(done)
     labelled = nodes.select("h1", "h2", "node", "least").join(found, "node", "left").withColumn("of", F.coalesce("of", "node"))
     least = labelled.groupBy("of").agg(F.min(F.struct("least", "h1", "h2")).alias("one"))

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -275,6 +276,43 @@ def test_banded_distance():
             assert minhash.banded_distance(a, b, most) == (d if d <= most else None)
 
 
+@pytest.mark.parametrize("block", [1000, 7])
+def test_near_groups_of_a_common_passage(spark, monkeypatch, block):
+    # one sketch that all of them share: a pair's two texts are neither the group's first ones nor beside one another
+    rng = random.Random(31)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    passage = sentence(rng, 150)
+    rows = []
+    for i in range(120):
+        words = (passage + " " + sentence(rng, 50)).split(" ")
+        copy = list(words)
+        for at in rng.sample(range(len(words)), 6):
+            copy[at] = f"edit{rng.random()}"
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(copy))]
+    rng.shuffle(rows)
+    got = {r.doc_id: r.class_id for r in minhash.near_groups(frame(spark, rows), k=5, sketches=2).collect()}
+    by = dict(rows)
+    texts = {i: t.split() for i, t in rows}
+    k = lambda w: np.frombuffer(minhash.order_sketches(*minhash._labelled(minhash.Words(pa.array([" ".join(w)])), 5), 2, 2).tobytes(), np.uint64)
+    shared = [i for i in range(120) if (k(texts[i]) == k(texts[1000 + i])).any()]
+    assert len(shared) > 20 and len(by) == 240
+    assert [i for i in shared if got[i] != got[1000 + i]] == []
+
+
+def test_screen_loses_nothing():
+    rng = random.Random(32)
+    texts = []
+    for _ in range(300):
+        a = [rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 40))]
+        b = [x if rng.random() < 0.85 else rng.choice("abcdefghijklmnop") for x in a if rng.random() < 0.95] or ["a"]
+        texts += [a, b]
+    w = minhash.Words(pa.array([" ".join(x) for x in texts]))
+    bags = minhash._bags(w)
+    ok = minhash._may_be_near(w.counts[::2], bags[::2], w.counts[1::2], bags[1::2], 0.8)
+    near = [distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9) for a, b in zip(texts[::2], texts[1::2])]
+    assert not (np.array(near) & ~ok).any() and 50 < sum(near) <= ok.sum() < 300
+
+
 def test_near_groups(spark):
     rng = random.Random(12)
     rows = [(i, t) for i, t in awkward(docs=40)]
