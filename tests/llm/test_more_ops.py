@@ -299,6 +299,21 @@ def test_near_groups_of_a_common_passage(spark, monkeypatch, block):
     assert [i for i in shared if got[i] != got[1000 + i]] == []
 
 
+@pytest.mark.parametrize("words, edits", [(200, 40), (200, 30), (200, 20), (60, 12), (45, 9), (20, 4), (9, 1), (5, 1)])
+def test_near_groups_finds_scattered_edits(spark, words, edits):
+    # similarity 0.80, 0.85, 0.90 of long texts, and short texts of 0.8 or a little more
+    rng = random.Random(words + edits)
+    rows = []
+    for i in range(100):
+        text = [f"{''.join(rng.choice('abcdeghilmnoprstu') for _ in range(5))}{i}" for _ in range(words)]
+        copy = list(text)
+        for at in [words // 2] if edits == 1 else rng.sample(range(words), edits):
+            copy[at] = f"edit{rng.random()}"
+        rows += [(i, " ".join(text)), (1000 + i, " ".join(copy))]
+    got = {r.doc_id: r.class_id for r in minhash.near_groups(frame(spark, rows)).collect()}
+    assert sum(got[i] == got[1000 + i] for i in range(100)) >= 99
+
+
 def test_screen_loses_nothing():
     rng = random.Random(32)
     texts = []
