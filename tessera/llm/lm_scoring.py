@@ -141,7 +141,7 @@ def _score(order: int, backoff: float):
     return run
 
 
-def lm_scores(df: DataFrame, order: int = 2, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(df: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, log_score, score) for every document; score is log_score a word."""
     docs, buckets = in_blocks(df, id_col, text_col)
     asked = docs.groupBy("block").applyInArrow(_ask(order, buckets), "bucket int, block int, grams binary, counts binary")

@@ -187,6 +187,14 @@ def test_lm_scores(spark, order):
     assert all((r.score is None) == (r.n_words == 0) for r in got)
 
 
+def test_lm_scores_count_runs_of_three_words_unless_told_otherwise(spark):
+    rows = [(1, "a b c"), (2, "a b c"), (3, "x b c"), (4, "a b d b c")]
+    got = lm_scoring.lm_scores(frame(spark, rows)).collect()
+    want = brute_lm(rows, 3, 0.4)
+    assert want != brute_lm(rows, 2, 0.4)
+    assert sorted((r.doc_id, r.n_words, round(r.log_score, 6)) for r in got) == want
+
+
 def brute_suffix(rows, length=50):
     low = -(2**63)
     first = {}
