@@ -3,7 +3,9 @@
 A text whose every space stands between two non-white characters is cut at its
 spaces. The vocabularies here never let a token reach over such a cut, so the ids
 of the pieces in a row are the ids of the text, and a piece is encoded once for a
-worker, not once for each time it occurs. Any other text is encoded as a whole.
+worker, not once for each time it occurs. Any other text is encoded as a whole, and
+so is a text that holds an added token's string (``<|endoftext|>``, say, in any
+case), which the library takes for that token.
 
 ``space_leads`` tells the two kinds of vocabulary apart: with it, a piece keeps
 the space before it (byte-level vocabularies); without, white space is dropped,
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +52,8 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([_ODD, *(f"(?i:{re.escape(x)})" for x in added)])
         self.space_leads = space_leads
         self.words = Tokenizer(self.tokenizer.model)
         cut = pre_tokenizers.Split(" ", "merged_with_next") if space_leads else pre_tokenizers.WhitespaceSplit()
@@ -108,7 +112,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's ids begin (one entry more)."""
         texts = texts.cast(pa.string()) if texts.type != pa.string() else texts
-        odd = np.asarray(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False), bool)
+        odd = np.asarray(pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False), bool)
         # a line's end is a cut too: white space is dropped, or it is a piece of its own
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n " if self.space_leads else " "), " ")
         pieces = split.flatten()

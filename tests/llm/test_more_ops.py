@@ -19,7 +19,6 @@ def ids_of(name, texts, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [[*e.ids, end] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -27,7 +26,7 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-ODD = ["two  spaces", " leading", "trailing ", "tab\there", "nb sp x", "a　b c", "é ́x", "it's they'll we 've 's", "<|endoftext|> <|startoftext|>", "1 23 4,5.6", "line\nbreak and\n\nmore", "x \ny", "ﬁ ΑΣ ΣΑΣ İ ß", "😀 a😀 b", "a​b c﻿d"]
+ODD = ["two  spaces", " leading", "trailing ", "tab\there", "nb sp x", "a　b c", "é ́x", "it's they'll we 've 's", "<|endoftext|> <|startoftext|>", "a<|endoftext|>b c", "ends <|endoftext|>", "a <|EndOfText|> b <|startoftext|>c", "<|endoftext| >", "1 23 4,5.6", "line\nbreak and\n\nmore", "x \ny", "ﬁ ΑΣ ΣΑΣ İ ß", "😀 a😀 b", "a​b c﻿d"]
 
 
 @pytest.mark.parametrize("file, end, lead", [("word_bpe_49k.json", 1, False), ("byte_bpe_50k.json", 0, True)])
