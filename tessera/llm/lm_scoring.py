@@ -12,8 +12,15 @@ out; a word that no other document holds counts as half a time.
 The score is the mean of the words' log scores. What is gathered from the corpus
 is every n-gram of every document.
 
+An n-gram is a hash of as many bits as keep two n-grams of the corpus apart: ``SPARE``
+more than their number has, up to 64. One in 2 ** ``SPARE`` at most shares its
+hash with another one.
+
 Defined cases: a null or empty text has no words and the score null; rows that
-repeat an id are documents of their own; an empty table gives an empty table.
+repeat an id, or an id and a text, are documents of their own, each scored by the
+others; a text longer than a block is a block's only long one and is counted and
+scored whole (its arrays take about a hundred bytes for each word); an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,128 +32,102 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import bucket_bounds, get, get_sorted, in_blocks, put, put_sorted
+from .blocks import REQUEST, grouped, in_blocks, request, totals, totals_of
 from .common import Words, public_id, save, slices
 
-_REQUEST = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
-_REPLY = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("words", pa.int64()), ("known", pa.float64()), ("unigrams", pa.int64())])
+#: Bits of a hash beyond those that number all n-grams, and the least of all bits.
+SPARE, LEAST_BITS = 20, 48
 
 
-def _salted(h: np.ndarray, n: int) -> np.ndarray:
-    return h ^ np.uint64(n * 0x9E3779B97F4A7C15 & (2**64 - 1))
-
-
-def _parts(docs: pa.Table):
-    """A block's texts, a slice at a time."""
-    return slices(docs.combine_chunks().to_batches())
-
-
-def _block_grams(docs: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a block, sorted, and how often each occurs."""
-    all_, n = [], []
-    for part in _parts(docs):
-        w = Words(part.column("text"))
-        for o in range(1, order + 1):
-            u, c = np.unique(_salted(w.grams(o)[0], o), return_counts=True)
-            all_.append(u)
-            n.append(c)
-    if not all_:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return _summed(np.concatenate(all_), np.concatenate(n))
+class _Grams:
+    """A block's n-grams, up to ``order`` words, every occurrence of them.
 
+    ``h``: hashes; ``of``: the document's row; ``end``: the n-gram's last word,
+    counted through the block; ``first``: where each order begins in these
+    arrays, one entry more. ``sorted`` has equal ones side by side, ``new`` marks
+    the first of each.
+    """
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    begin = np.flatnonzero(new)
-    return keys[begin], (np.add.reduceat(counts, begin) if len(begin) else np.zeros(0, np.int64))
-
-
-def _ask(order: int, buckets: int):
+    def __init__(self, docs: pa.Table, order: int, drop: int):
+        by_order: list[list[tuple]] = [[] for _ in range(order)]
+        counts, words, rows = [], 0, 0
+        keep = ~((np.uint64(1) << np.uint64(drop)) - np.uint64(1))
+        for part in slices(docs.combine_chunks().to_batches()):
+            w = Words(part.column("text"))
+            for o in range(1, order + 1):
+                h, at = w.grams(o)
+                by_order[o - 1].append(((h ^ np.uint64(o * 0x9E3779B97F4A7C15 & (2**64 - 1))) & keep, (w.text_of[at] + rows).astype(np.int32), at + (o - 1 + words)))
+            counts.append(w.counts)
+            words, rows = words + len(w), rows + len(w.counts)
+        self.words, self.counts = words, np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        self.first = np.cumsum([0, *(sum(len(p[0]) for p in own) for own in by_order)])
+        flat = [x for own in by_order for x in own]
+        kinds = (np.uint64, np.int32, np.int64)
+        self.h, self.of, self.end = (np.concatenate([x[i] for x in flat]) if flat else np.zeros(0, kind) for i, kind in enumerate(kinds))
+        self.sorted, self.new = grouped(self.h)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams, sorted, and how often each occurs."""
+        begin = np.flatnonzero(self.new)
+        return self.h[self.sorted[begin]], np.diff(np.append(begin, len(self.h)))
+
+    def elsewhere(self, total: np.ndarray) -> np.ndarray:
+        """For each occurrence, how often all other documents hold its n-gram; ``total``: of each distinct one."""
+        of = self.of[self.sorted]
+        own = self.new.copy()
+        own[1:] |= of[1:] != of[:-1]
+        begin = np.flatnonzero(own)
+        size = np.diff(np.append(begin, len(of)))
+        out = np.empty(len(of), np.int64)
+        out[self.sorted] = total.astype(np.int64)[np.cumsum(self.new) - 1] - np.repeat(size, size)
+        return out
+
+
+def _ask(order: int, buckets: int, drop: int):
     def run(docs: pa.Table) -> pa.Table:
-        block = docs["block"][0].as_py()
-        grams, counts = _block_grams(docs, order)
-        bounds = bucket_bounds(grams, buckets).tolist()
-        some = [k for k in range(buckets) if bounds[k] < bounds[k + 1]]
-        return pa.table([
-            pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int32()),
-            pa.array([put_sorted(grams[bounds[k] : bounds[k + 1]]) for k in some], pa.binary()),
-            pa.array([put(counts[bounds[k] : bounds[k + 1]].astype("<u4")) for k in some], pa.binary()),
-        ], schema=_REQUEST)
+        return request(docs["block"][0].as_py(), *_Grams(docs, order, drop).distinct(), buckets, drop)
 
     return run
 
 
-def _count(asked: pa.Table) -> pa.Table:
-    """One bucket's table: sums over all blocks, handed back to each in its order."""
-    grams = [get_sorted(x) for x in asked["grams"].to_pylist()]
-    ends = np.cumsum([len(x) for x in grams])
-    counts = np.concatenate([get(x, "<u4") for x in asked["counts"].to_pylist()]).astype(np.int64)
-    keys, total = _summed(flat := np.concatenate(grams), counts)
-    back = total[np.searchsorted(keys, flat)]
-    replies = [put(x.astype("<u8" if len(x) and x.max() >= 2**32 else "<u4")) for x in np.split(back, ends[:-1])]
-    wide = [b"\1" if len(x) and x.max() >= 2**32 else b"\0" for x in np.split(back, ends[:-1])]
-    return pa.table([asked["block"].combine_chunks(), asked["bucket"].combine_chunks(), pa.array([w + r for w, r in zip(wide, replies)], pa.binary())], schema=_REPLY)
-
-
-def _totals(replies: pa.Table) -> np.ndarray:
-    rows = sorted(zip(replies["bucket"].to_pylist(), replies["totals"].to_pylist()))
-    return np.concatenate([get(x[1:], "<u8" if x[0] else "<u4").astype(np.int64) for _, x in rows]) if rows else np.zeros(0, np.int64)
-
-
-def _without_own(h: np.ndarray, of: np.ndarray, grams: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """For each n-gram occurrence: its count in all other documents."""
-    at = np.searchsorted(grams, h)
-    order = np.argsort(at * (int(of.max()) + 1) + of if len(of) else at, kind="stable")
-    a, o = at[order], of[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (o[1:] != o[:-1])
-    begin = np.flatnonzero(new)
-    size = np.diff(np.append(begin, len(a)))
-    own = np.empty(len(a), np.int64)
-    own[order] = np.repeat(size, size)
-    return totals[at] - own
-
-
-def _score(order: int, backoff: float):
+def _score(order: int, backoff: float, drop: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        out = []
-        grams, _ = _block_grams(docs, order)
-        totals = _totals(replies)
-        for part in _parts(docs):
-            w = Words(part.column("text"))
-            n = len(w)
-            seen = np.full((order + 1, n), -1, np.int64)  # of the n-gram that ends at a word: count elsewhere, -1 if there is none
-            for o in range(1, order + 1):
-                h, at = w.grams(o)
-                if len(h):
-                    seen[o, at + o - 1] = _without_own(_salted(h, o), w.text_of[at], grams, totals)
-            value, done = np.zeros(n), np.zeros(n, bool)
-            steps = np.zeros(n, np.int64)
-            for o in range(order, 1, -1):
-                hit = ~done & (seen[o] > 0)
-                here = np.flatnonzero(hit)
-                value[here] = np.log(seen[o, here] / seen[o - 1, here - 1]) + steps[here] * math.log(backoff)
-                done |= hit
-                steps += ~done & (seen[o] >= 0)  # an n-gram that would start before the text is no step back
-            rest = np.flatnonzero(~done)
-            value[rest] = np.log(np.maximum(seen[1, rest], 0.5)) + steps[rest] * math.log(backoff)
-            rows = len(w.counts)
-            out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(w.counts.astype(np.int64)), pa.array(np.bincount(w.text_of, value, rows)), pa.array(np.bincount(w.text_of, ~done, rows).astype(np.int64))], schema=_SCORED))
-        return pa.Table.from_batches(out, _SCORED)
+        if not docs.num_rows:
+            return _SCORED.empty_table()
+        grams = _Grams(docs, order, drop)
+        elsewhere, n = grams.elsewhere(totals_of(replies)), grams.words
+        seen = np.full((order + 1, n), -1, np.int64)  # of the n-gram that ends at a word: count elsewhere, -1 if there is none
+        for o in range(1, order + 1):
+            own = slice(grams.first[o - 1], grams.first[o])
+            seen[o, grams.end[own]] = elsewhere[own]
+        value, done = np.zeros(n), np.zeros(n, bool)
+        steps = np.zeros(n, np.int64)
+        for o in range(order, 1, -1):
+            hit = ~done & (seen[o] > 0)
+            here = np.flatnonzero(hit)
+            value[here] = np.log(seen[o, here] / seen[o - 1, here - 1]) + steps[here] * math.log(backoff)
+            done |= hit
+            steps += ~done & (seen[o] >= 0)  # an n-gram that would start before the text is no step back
+        rest = np.flatnonzero(~done)
+        value[rest] = np.log(np.maximum(seen[1, rest], 0.5)) + steps[rest] * math.log(backoff)
+        rows = len(grams.counts)
+        of = np.repeat(np.arange(rows), grams.counts)
+        known, unigrams = np.bincount(of, value, rows), np.bincount(of, ~done, rows).astype(np.int64)
+        return pa.table([docs["doc_id"].combine_chunks(), pa.array(grams.counts.astype(np.int64)), pa.array(known), pa.array(unigrams)], schema=_SCORED)
 
     return run
 
 
 def lm_scores(df: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, log_score, score) for every document; score is log_score a word."""
-    docs, buckets = in_blocks(df, id_col, text_col)
-    asked = docs.groupBy("block").applyInArrow(_ask(order, buckets), "bucket int, block int, grams binary, counts binary")
-    replies = asked.groupBy("bucket").applyInArrow(_count, "block int, bucket int, totals binary")
-    scored = docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(order, backoff), "doc_id long, words long, known double, unigrams long")
+    docs, route, size = in_blocks(df, id_col, text_col)
+    # a word and what parts it from the next one take two bytes at least, four mostly
+    drop = 64 - min(64, max(LEAST_BITS, (size * order // 4).bit_length() + SPARE))
+    route = route._replace(drop=drop)
+    asked = docs.groupBy("block").applyInArrow(_ask(order, route.coarse, drop), REQUEST)
+    replies = totals(asked, route)
+    scored = docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(order, backoff, drop), "doc_id long, words long, known double, unigrams long")
     scored = save(scored, "lm-scores")
     words = scored.agg(F.sum("words")).collect()[0][0] or 0
     # what is divided by all other documents' words is left to the end, when their number is known

@@ -43,16 +43,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import bucket_bounds, bucket_of, get, get_sorted, in_blocks, put, put_sorted
+from .blocks import REQUEST, bucket_of, bucket_ranges, get, grouped, in_blocks, put, request, totals, totals_of
 from .common import mix, public_id, save, slices, text_bytes
 
 LENGTH, SEED, SHALLOW = 50, 26, 24
+#: Bits of a minimiser's hash beyond those that number all minimisers, and the least of all bits; the sieve may pass too much.
+SPARE, LEAST_BITS = 10, 40
 _MOST = np.uint64(2**64 - 1)
 _FACTORS = mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 _ASIDE, _KNOWN, _MARKS = 0, 1, 2
 _TO_BLOCK = "block int, kind int, bucket int, doc_id long, h1 long, payload binary"
 _TO_BLOCK_KIND = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("h1", pa.int64()), ("payload", pa.binary())])
-_SEEDS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("many", pa.binary())])
 _RUNS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("windows", pa.binary()), ("docs", pa.binary()), ("texts", pa.binary())])
 
 
@@ -144,39 +145,31 @@ def _block_of(docs: pa.Table, more: pa.Table) -> int:
     return (docs if docs.num_rows else more)["block"][0].as_py()
 
 
-def _block_seeds(block: list) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct minimisers of a block, sorted, and whether several documents of it hold one."""
-    hashes, ids = [], []
-    for _, doc, w in block:
-        if len(w.seeds):
-            of = np.searchsorted(w.offsets, w.seeds, "right") - 1
-            h, d = w.seed_hash, doc[of]
-            order = np.argsort(h, kind="stable")
-            h, d = h[order], d[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-            hashes.append(h[new])
-            ids.append(d[new])
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    h, d = np.concatenate(hashes), np.concatenate(ids)
-    order = np.argsort(h, kind="stable")
-    h, d = h[order], d[order]
-    begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    return h[begin], np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
-
-
-def _ask_seeds(buckets: int):
+class _Seeds:
+    """A block's minimisers: distinct and sorted, 2 where several documents of it hold one, else 1.
+
+    ``which``: for each slice, the place of each of its minimisers among them.
+    """
+
+    def __init__(self, block: list, drop: int):
+        keep = ~((np.uint64(1) << np.uint64(drop)) - np.uint64(1))
+        hashes = [w.seed_hash & keep for _, _, w in block]
+        ids = [doc[np.searchsorted(w.offsets, w.seeds, "right") - 1] for _, doc, w in block]
+        h, d = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((hashes, np.uint64), (ids, np.int64)))
+        order, new = grouped(h)
+        begin = np.flatnonzero(new)
+        self.hashes, d = h[order[begin]], d[order]
+        some = len(begin) > 0
+        self.counts = 1 + (np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)) if some else np.zeros(0, np.int64)
+        which = np.empty(len(h), np.int64)
+        which[order] = np.cumsum(new) - 1
+        self.which = np.split(which, np.cumsum([len(x) for x in hashes])[:-1]) if hashes else []
+
+
+def _ask_seeds(route):
     def run(docs: pa.Table, more: pa.Table) -> pa.Table:
-        h, many = _block_seeds(_slices(docs, _aside(more)))
-        bounds = bucket_bounds(h, buckets).tolist()
-        some = [k for k in range(buckets) if bounds[k] < bounds[k + 1]]
-        block = _block_of(docs, more)
-        return pa.table([
-            pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int32()),
-            pa.array([put_sorted(h[bounds[k] : bounds[k + 1]]) for k in some], pa.binary()),
-            pa.array([put(np.packbits(many[bounds[k] : bounds[k + 1]])) for k in some], pa.binary()),
-        ], schema=_SEEDS)
+        seeds = _Seeds(_slices(docs, _aside(more)), route.drop)
+        return request(_block_of(docs, more), seeds.hashes, seeds.counts, route.coarse, route.drop)
 
     return run
 
@@ -187,27 +180,8 @@ def _to_block(kind: int, asked: pa.Table, payloads: list[bytes]) -> pa.Table:
     return pa.table([asked["block"].combine_chunks(), pa.array(np.full(n, kind, np.int32)), asked["bucket"].combine_chunks(), zero, zero, pa.array(payloads, pa.binary())], schema=_TO_BLOCK_KIND)
 
 
-def _shared_seeds(asked: pa.Table) -> pa.Table:
-    """One bucket: a bit for each block's seeds, set if another block or several of its documents hold it."""
-    hashes = [get_sorted(x) for x in asked["hashes"].to_pylist()]
-    many = [np.unpackbits(get(x, "u1"), count=len(h)).astype(bool) for x, h in zip(asked["many"].to_pylist(), hashes)]
-    ends = np.cumsum([len(h) for h in hashes])
-    flat = np.concatenate(hashes)
-    order = np.argsort(flat)
-    s = flat[order]
-    same = s[1:] == s[:-1]
-    shared = np.zeros(len(flat), bool)
-    shared[order[1:]] |= same
-    shared[order[:-1]] |= same
-    shared |= np.concatenate(many)
-    return _to_block(_KNOWN, asked, [put(np.packbits(x)) for x in np.split(shared, ends[:-1])])
-
-
-def _bits(more: pa.Table, kind: int, sizes: np.ndarray) -> np.ndarray:
-    """The answers of all buckets in a row; ``sizes``: how many bits each bucket's answer has."""
-    rows = {b: p for k, b, p in zip(more["kind"].to_pylist(), more["bucket"].to_pylist(), more["payload"].to_pylist()) if k == kind}
-    parts = [np.unpackbits(get(rows[b], "u1"), count=int(sizes[b])).astype(bool) for b in np.flatnonzero(sizes).tolist()]
-    return np.concatenate(parts) if parts else np.zeros(0, bool)
+def _of_kind(more: pa.Table, kind: int) -> pa.Table:
+    return more.filter(pa.array(more["kind"].to_numpy() == kind))
 
 
 def _prints(data: np.ndarray, word: np.ndarray, first: np.ndarray, windows: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
@@ -228,16 +202,16 @@ def _prints(data: np.ndarray, word: np.ndarray, first: np.ndarray, windows: np.n
 class _Runs:
     """A block's runs of candidate windows: where they stand, and which are equal."""
 
-    def __init__(self, docs: pa.Table, more: pa.Table, buckets: int):
+    def __init__(self, docs: pa.Table, more: pa.Table, route):
         aside = _aside(more)
         parts = _slices(docs, aside)
-        seeds, _ = _block_seeds(parts)
-        shared = _bits(more, _KNOWN, np.diff(bucket_bounds(seeds, buckets)))
+        seeds = _Seeds(parts, route.drop)
+        shared = totals_of(_of_kind(more, _KNOWN).select(["bucket", "payload"]).rename_columns(["bucket", "totals"])) > 1
         data, base = [], 0
         start, windows, seed, doc, prints = [], [], [], [], []
-        for part, ids, w in parts:
+        for (_, ids, w), which in zip(parts, seeds.which):
             if len(w.seeds):
-                at = np.flatnonzero(w.candidates(shared[np.searchsorted(seeds, w.seed_hash)]))
+                at = np.flatnonzero(w.candidates(shared[which]))
                 if len(at):
                     low = w.low[at]
                     of = np.searchsorted(w.offsets, at, "right") - 1
@@ -257,30 +231,31 @@ class _Runs:
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.start, self.windows, self.seed, self.doc, self.prints = join(start, np.int64), join(windows, np.int64), join(seed, np.uint64), join(doc, np.int64), join(prints, np.uint64)
         # equal runs side by side, sorted by bucket; the first of them has the least document
-        bucket = bucket_of(self.seed, buckets)
+        bucket = bucket_of(self.seed, route.buckets)
         order = np.lexsort((self.doc, self.prints, self.seed))
         for name in ("start", "windows", "seed", "doc", "prints"):
             setattr(self, name, getattr(self, name)[order])
         self.bucket = bucket[order]
         self.first = np.append(True, (self.seed[1:] != self.seed[:-1]) | (self.prints[1:] != self.prints[:-1])) if len(order) else np.zeros(0, bool)
 
-    def ask(self, block: int, buckets: int) -> pa.Table:
+    def asked(self) -> list[tuple[int, np.ndarray]]:
+        """The runs that each bucket is asked about: no more rows than runs."""
         one = np.flatnonzero(self.first)
-        bounds = np.searchsorted(self.bucket[one], np.arange(buckets + 1)).tolist()
+        return [(k, one[a:z]) for k, a, z in bucket_ranges(self.bucket[one])]
+
+    def ask(self, block: int) -> pa.Table:
         out = []
-        for k in range(buckets):
-            if bounds[k] < bounds[k + 1]:
-                mine = one[bounds[k] : bounds[k + 1]]
-                n = self.windows[mine]
-                size = n + LENGTH - 1
-                at = np.repeat(self.start[mine] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                out.append((k, block, put(n.astype("<i8")), put(self.doc[mine].astype("<i8")), put(self.data[at])))
+        for k, mine in self.asked():
+            n = self.windows[mine]
+            size = n + LENGTH - 1
+            at = np.repeat(self.start[mine] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            out.append((k, block, put(n.astype("<i8")), put(self.doc[mine].astype("<i8")), put(self.data[at])))
         return pa.table([pa.array([r[i] for r in out], t.type) for i, t in enumerate(_RUNS)], schema=_RUNS)
 
 
-def _ask_runs(buckets: int):
+def _ask_runs(route):
     def run(docs: pa.Table, more: pa.Table) -> pa.Table:
-        return _Runs(docs, more, buckets).ask(_block_of(docs, more), buckets)
+        return _Runs(docs, more, route).ask(_block_of(docs, more))
 
     return run
 
@@ -397,13 +372,15 @@ def _sort_bucket(asked: pa.Table) -> pa.Table:
     return _to_block(_MARKS, asked, [put(np.packbits(x)) for x in np.split(earlier, ends[:-1])])
 
 
-def _removed(docs: pa.Table, more: pa.Table, buckets: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
+def _removed(docs: pa.Table, more: pa.Table, route) -> Iterator[tuple[int, bytes, np.ndarray]]:
     """Each document's id, bytes and which of them go."""
     aside = _aside(more)
-    runs = _Runs(docs, more, buckets)
+    runs = _Runs(docs, more, route)
     one = np.flatnonzero(runs.first)
-    sizes = np.bincount(runs.bucket[one], runs.windows[one], buckets).astype(np.int64) if len(one) else np.zeros(buckets, np.int64)
-    marks = _bits(more, _MARKS, sizes)
+    marks = _of_kind(more, _MARKS)
+    answers = dict(zip(marks["bucket"].to_pylist(), marks["payload"].to_pylist()))
+    bits = [np.unpackbits(get(answers[k], "u1"), count=int(runs.windows[mine].sum())) for k, mine in runs.asked()]
+    marks = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
     change = np.zeros(len(runs.data) + 1, np.int32)
     if len(one):
         begin = np.cumsum(runs.windows[one]) - runs.windows[one]
@@ -429,12 +406,12 @@ def _removed(docs: pa.Table, more: pa.Table, buckets: int) -> Iterator[tuple[int
                     base += len(raw)
 
 
-def _digest(buckets: int):
+def _digest(route):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(docs: pa.Table, more: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        for doc, raw, gone in _removed(docs, more, buckets):
+        for doc, raw, gone in _removed(docs, more, route):
             n = int(gone.sum())
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if n else raw
             spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if n else 0
@@ -445,10 +422,10 @@ def _digest(buckets: int):
     return run
 
 
-def _spans(buckets: int):
+def _spans(route):
     def run(docs: pa.Table, more: pa.Table) -> pa.Table:
         ids, begins, ends = [], [], []
-        for doc, _, gone in _removed(docs, more, buckets):
+        for doc, _, gone in _removed(docs, more, route):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
             ids += [doc] * (len(edge) // 2)
             begins += edge[::2].tolist()
@@ -459,7 +436,8 @@ def _spans(buckets: int):
 
 
 def _apply(df: DataFrame, id_col: str, text_col: str, last, schema: str) -> DataFrame:
-    docs, buckets = in_blocks(df, id_col, text_col)
+    docs, route, size = in_blocks(df, id_col, text_col)
+    route = route._replace(drop=64 - min(64, max(LEAST_BITS, (size // 12).bit_length() + SPARE)))  # a minimiser for 13 bytes
     # texts that another document has as well: a few bytes of each document are compared, not its text
     ids = docs.select("block", "doc_id", "h1", F.xxhash64(F.lit(1), "text").alias("h2"))
     least = ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
@@ -469,11 +447,11 @@ def _apply(df: DataFrame, id_col: str, text_col: str, last, schema: str) -> Data
     def at_home(more: DataFrame, step, out: str) -> DataFrame:
         return docs.groupBy("block").cogroup(more.groupBy("block")).applyInArrow(step, out)
 
-    seeds = at_home(aside, _ask_seeds(buckets), "bucket int, block int, hashes binary, many binary")
-    known = aside.union(seeds.groupBy("bucket").applyInArrow(_shared_seeds, _TO_BLOCK))
-    runs = at_home(known, _ask_runs(buckets), "bucket int, block int, windows binary, docs binary, texts binary")
+    shared = totals(at_home(aside, _ask_seeds(route), REQUEST), route, most=2)
+    known = aside.union(shared.select("block", F.lit(_KNOWN).alias("kind"), "bucket", F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("h1"), F.col("totals").alias("payload")))
+    runs = at_home(known, _ask_runs(route), "bucket int, block int, windows binary, docs binary, texts binary")
     marks = runs.groupBy("bucket").applyInArrow(_sort_bucket, _TO_BLOCK)
-    return at_home(known.union(marks), last(buckets), schema)
+    return at_home(known.union(marks), last(route), schema)
 
 
 def suffix_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from tessera.llm import line_dedup, lm_scoring, mixing, quality, suffix_dedup
+from tessera.llm import blocks, line_dedup, lm_scoring, mixing, quality, suffix_dedup
 
 from .corpus import awkward, empty, frame
 
@@ -151,6 +151,34 @@ def test_apply_mix_repeats_rows(spark):
     assert all(r.taken == r.passes * r["size"] for r in plan.values())
 
 
+def small_blocks(monkeypatch, two_steps):
+    """Many blocks and buckets for a small corpus; with two steps, fewer rows for a block than there are buckets."""
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 20_000)
+    monkeypatch.setattr(blocks, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(blocks, "MOST_ROWS", 3 if two_steps else 1000)
+
+
+def test_routes_grow_in_proportion():
+    # rows of all blocks for coarse buckets and of all regions for buckets, at 10 GB, 1 TB and 100 TB of text
+    for size in (1e10, 1e12, 1e14):
+        n_blocks, r = size / blocks.MOST_BLOCK, blocks.route(-int(-size // blocks.BUCKET_BYTES))
+        assert r.buckets >= size / blocks.BUCKET_BYTES and r.coarse <= 5100
+        rows = n_blocks * r.coarse + (n_blocks / r.region * r.buckets if r.fine > 1 else 0)
+        assert size / rows > 1500  # bytes of text a row
+        assert r.region * blocks.MOST_BLOCK / r.coarse < 2 * blocks.MOST_BLOCK or r.fine == 1
+
+
+def test_grouped_sorts_and_keeps_order():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, low in ((0, 0), (1, 0), (500, 3), (500, 40), (2000, 60)):
+        h = (rng.integers(0, 50, n).astype(np.uint64) << np.uint64(low)) + rng.integers(0, 3, n).astype(np.uint64)
+        order, new = blocks.grouped(h)
+        assert order.tolist() == np.argsort(h, kind="stable").tolist()
+        assert new.tolist() == [k == 0 or h[order[k]] != h[order[k - 1]] for k in range(n)]
+
+
 def brute_lm(rows, order, backoff):
     docs = [WORD.findall(t or "") for _, t in rows]
     grams = lambda w, n: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
@@ -179,9 +207,10 @@ def brute_lm(rows, order, backoff):
     return sorted(out)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm_scores(spark, order):
-    rows = [(i, t) for i, t in awkward(docs=20) if i != 1005]
+@pytest.mark.parametrize("order, two_steps", [(1, False), (2, False), (3, False), (3, True)])
+def test_lm_scores(spark, monkeypatch, order, two_steps):
+    small_blocks(monkeypatch, two_steps)
+    rows = awkward(docs=20)
     got = lm_scoring.lm_scores(frame(spark, rows), order=order).collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, round(r.log_score, 6) + 0.0) for r in got) == [(a, b, c + 0.0) for a, b, c in brute_lm(rows, order, 0.4)]
     assert all((r.score is None) == (r.n_words == 0) for r in got)
@@ -216,9 +245,11 @@ def brute_suffix(rows, length=50):
     return Counter(out)
 
 
-def test_suffix_dedup(spark):
+@pytest.mark.parametrize("two_steps", [False, True])
+def test_suffix_dedup(spark, monkeypatch, two_steps):
+    small_blocks(monkeypatch, two_steps)
     rng = random.Random(9)
-    rows = [(i, t) for i, t in awkward(docs=40) if i != 1005]
+    rows = awkward(docs=40)
     text = "".join(t for _, t in rows[:8])
     for i in range(40):  # passages cut anywhere
         at = rng.randrange(len(text) - 200)
