@@ -73,7 +73,11 @@ def constant(x: Any) -> Val:
         return Val(F.lit(x).cast("int" if abs(x) < 2**31 else "bigint"), INT, x, x, const=(x,), leaf=True)
     if isinstance(x, float):
         return Val(F.lit(x).cast("double"), REAL, const=(x,), leaf=True)
-    return Val(F.lit(x) if isinstance(x, str) else F.lit(bytearray(x)), TEXT if isinstance(x, str) else BLOB, const=(x,), leaf=True)
+    if isinstance(x, bytes):
+        return Val(F.lit(bytearray(x)), BLOB, const=(x,), leaf=True)
+    if any(0xD800 <= ord(y) <= 0xDFFF for y in x):  # a text of bytes that are no UTF-8
+        return Val(F.unhex(F.lit(x.encode("utf-8", "surrogateescape").hex())).cast("string"), TEXT, const=(x,), leaf=True)
+    return Val(F.lit(x), TEXT, const=(x,), leaf=True)
 
 
 def boolean(pred: SparkColumn) -> Val:
@@ -179,12 +183,19 @@ def group_key(x: Val) -> SparkColumn:
 
 
 def _real_text(x: SparkColumn) -> SparkColumn:
-    """15 significant digits without the zeros that Java leaves at their end, and always a point."""
+    """15 significant digits without the zeros that Java leaves at their end, and always a point.
+
+    Whole numbers, and those that Java writes plainly in 15 digits at most, are
+    right as they are; only others are formatted.
+    """
 
     def shown(r):
         digits = F.regexp_replace(F.format_string("%.15g", r), r"(\.[0-9]*?)0+(e[+-][0-9]+)?$", "$1$2")
         digits = F.regexp_replace(digits, r"\.(e|$)", ".0$1")
         inf = F.lit(float("inf"))
+        size, short = F.abs(r), r.cast("string")
+        whole = F.when(size < 1e15, r).cast("bigint")
+        digits = F.when((size < 1e15) & (whole.cast("double") == r), F.concat(whole.cast("string"), F.lit(".0"))).when((size >= 1e-3) & (size < 1e7) & (F.length(short) <= 16), short).otherwise(digits)
         return F.when(r == inf, "Inf").when(r == -inf, "-Inf").when(F.isnan(r), "").when(r == 0, "0.0").when(r.isNotNull(), digits)
 
     return let(Val(x, REAL), shown)

@@ -2,7 +2,11 @@
 
 Scan, filter, group, project, distinct, sort and limit are declared in this
 order and left to Catalyst. Tables of a store carry a hidden row number, which
-orders rows where the dialect says "insertion order"; registered files have none.
+orders rows where the dialect says "insertion order", at every size; what reads
+the result as a set (an aggregate, a join) makes Spark drop that sort. Registered
+tables have no row number and no order of their own: no sort is added to them,
+and the first row, where a bare column asks for it, is the first by file and place
+in it (Parquet) or by value (other frames).
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ class Source:
     columns: list[tuple[str, Val]]
     #: Whether ``df`` has the hidden row number.
     numbered: bool = False
-    #: Whether results without ORDER BY come in the order of row numbers (small tables).
-    ordered: bool = False
+    #: What the first row is the least by, where there is no row number.
+    first: SparkColumn | None = None
 
     def scope(self) -> dict[str, Val]:
         out: dict[str, Val] = {}
@@ -98,13 +102,13 @@ def plan_select(spark: SparkSession, s: Select, source: Source | None) -> Plan:
         raise SQLError("HAVING clause on a non-aggregate query")
     numbered = source.numbered
     if grouped:
-        df, scope = _group(df, s, outputs, scope, numbered)
+        df, scope = _group(df, s, outputs, scope, source)
         if s.having is not None:
             df = df.filter(c.truth(c.compile_expr(s.having, scope)))
     # project: outputs, then what only ORDER BY needs
     star = s.outputs is None
     vals = [val for _, val in source.columns] if star and not grouped else [c.compile_expr(o.x, scope) for o in outputs]
-    names = [output_name(o) for o in outputs]
+    names = [output_name(o).encode("utf-8", "surrogateescape").decode("utf-8", "replace") for o in outputs]  # a blob's bytes may be no text
     cols = [c.plain(x).alias(f"o{i}") for i, x in enumerate(vals)]
     shown = [_after(x, F.col(f"o{i}")) for i, x in enumerate(vals)]
     order, extra = _order(s.order, names, shown, scope, outputs)
@@ -115,7 +119,7 @@ def plan_select(spark: SparkSession, s: Select, source: Source | None) -> Plan:
     df = df.select(*cols, *extra)
     if s.distinct:
         df = _distinct(df, shown, numbered)
-    if numbered and (order or source.ordered or s.limit is not None):
+    if numbered:
         order = [*order, F.col(ROW).asc()]
     if order:
         df = df.orderBy(*order)
@@ -132,7 +136,7 @@ def _after(x: Val, col: SparkColumn) -> Val:
     return Val(col, x.cls, x.low, x.high, x.aff, leaf=True, numeric=x.numeric)
 
 
-def _group(df: DataFrame, s: Select, outputs: tuple[Output, ...], scope: Scope, numbered: bool) -> tuple[DataFrame, Scope]:
+def _group(df: DataFrame, s: Select, outputs: tuple[Output, ...], scope: Scope, source: Source) -> tuple[DataFrame, Scope]:
     keys = [c.compile_expr(g, scope) for g in s.group]
     exprs = [o.x for o in outputs] + ([s.having] if s.having is not None else [])
     names = {output_name(o).lower() for o in outputs}
@@ -160,7 +164,8 @@ def _group(df: DataFrame, s: Select, outputs: tuple[Output, ...], scope: Scope,
 
     for x in exprs:
         collect(x)
-    first = F.col(ROW) if numbered else None
+    numbered = source.numbered
+    first = F.col(ROW) if numbered else source.first
     aggs, known, columns = [], {}, {}
     for a, i in aggregates.items():
         col, val = _aggregate(a, scope)
@@ -213,9 +218,12 @@ def _aggregate(a: Aggregate, scope: Scope) -> tuple[SparkColumn, Val]:
         return (F.sum_distinct(n.col) if a.distinct else F.sum(n.col)), Val(F.lit(0), REAL)
     if n.cls == INT:
         if -(2**31) <= n.low and n.high < 2**31:
-            # a long holds the sum of 4 billion such values, and the sum raises rather than wraps
             whole = c.int_col(n)
-            return (F.sum_distinct(whole) if a.distinct else F.sum(whole)), Val(F.lit(0), INT)
+            if a.distinct:  # no set of such values adds up to more than a long holds
+                return F.sum_distinct(whole), Val(F.lit(0), INT)
+            # upper and lower halves in a long each: enough for 2 ** 47 rows, and the sum of both may leave a long
+            high, low = F.sum(F.shiftright(whole, 16)).cast("decimal(38,0)"), F.sum(whole.bitwiseAND(F.lit(65535)))
+            return _sum_or_real(high * 65536 + low.cast("decimal(38,0)")), Val(F.lit(0), DYN, numeric=True)
         wide = n.col.cast("decimal(38,0)")
         return _sum_or_real(F.sum_distinct(wide) if a.distinct else F.sum(wide)), Val(F.lit(0), DYN, numeric=True)
     whole, reals = n.col["i"].cast("decimal(38,0)"), c.real(n)

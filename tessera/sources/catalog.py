@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +44,53 @@ def python_value(x: Any) -> Any:
     return bytes(x) if isinstance(x, bytearray) else x
 
 
+class Rows:
+    """Rows in memory, never changed. A version with a row more shares what it has with the one before.
+
+    Beside the rows stand, made when first asked for, the places of unique keys
+    and the rows' text in a manifest.
+    """
+
+    __slots__ = ("_all", "_n", "_places", "_texts")
+
+    def __init__(self, rows: Iterable[tuple] = ()):
+        self._all, self._places, self._texts = list(rows), {}, []
+        self._n = len(self._all)
+
+    def __len__(self) -> int:
+        return self._n
+
+    def __iter__(self) -> Iterator[tuple]:
+        return islice(self._all, self._n)
+
+    def plus(self, row: tuple) -> "Rows":
+        own = self if self._n == len(self._all) else Rows(self)  # another version has gone on from here
+        new = Rows.__new__(Rows)
+        new._all, new._places, new._texts, new._n = own._all, own._places, own._texts, own._n + 1
+        for key_of, known in own._places.values():
+            if (key := key_of(row)) is not None:
+                known.setdefault(key, own._n)
+        own._all.append(row)
+        return new
+
+    def places(self, name: tuple, key_of: Callable[[tuple], Any]) -> dict:
+        """The first place of each key; there may be keys of later versions' rows, at places past the end."""
+        if name in self._places:
+            return self._places[name][1]
+        known: dict = {}
+        for i, r in enumerate(self):
+            if (key := key_of(r)) is not None:
+                known.setdefault(key, i)
+        if self._n == len(self._all):
+            self._places[name] = key_of, known
+        return known
+
+    def texts(self, text_of: Callable[[tuple], str]) -> Iterator[str]:
+        """Each row as text, made once."""
+        self._texts += map(text_of, self._all[len(self._texts) : self._n])
+        return islice(self._texts, self._n)
+
+
 @dataclass(frozen=True)
 class Table:
     """A table: rows in files (``parts``, each with classes of its columns), then rows in memory.
@@ -55,23 +104,30 @@ class Table:
     keys: tuple[tuple[str, ...], ...]
     sql: str
     parts: tuple["Part", ...] = ()
-    rows: tuple[tuple, ...] = ()
+    rows: Rows = field(default_factory=Rows, compare=False)
     #: Row numbers of ``rows`` begin here.
     base: int = 0
     #: A registered table: a frame that is not ours to change.
     frame: Any = None
+    #: Whether the frame is Parquet files as they are, whose rows have a place.
+    in_files: bool = False
     cache: dict = field(default_factory=dict, compare=False)
 
     @property
     def affinities(self) -> list[str]:
         return [v.affinity(x.type) for x in self.columns]
 
-    def with_rows(self, rows: tuple[tuple, ...]) -> "Table":
-        return replace(self, rows=rows, cache={})
+    def with_rows(self, rows: Iterable[tuple]) -> "Table":
+        return replace(self, rows=Rows(rows), cache={})
 
     def source(self, spark: SparkSession) -> Source:
         if self.frame is not None:
-            return Source(self.frame, [(f.name, c.column_of(f, F.col(f"`{f.name}`"))) for f in self.frame.schema.fields])
+            vals = [(f.name, c.column_of(f, F.col(f"`{f.name}`"))) for f in self.frame.schema.fields]
+            if self.in_files:
+                first = F.struct("_metadata.file_path", "_metadata.row_index")
+            else:
+                first = F.struct(*(c.plain(x) for _, x in vals if x.cls != "OPAQUE"))
+            return Source(self.frame, vals, first=first)
         if "source" not in self.cache:
             self.cache["source"] = self._source(spark)
         return self.cache["source"]
@@ -79,7 +135,7 @@ class Table:
     def _source(self, spark: SparkSession) -> Source:
         n = len(self.columns)
         pieces = [(p.classes, p.read(spark, n)) for p in self.parts]
-        if self.rows or not pieces:
+        if len(self.rows) or not pieces:
             classes = []
             for i, aff in enumerate(self.affinities):
                 met = {class_of(r[i]) for r in self.rows} - {NULL}
@@ -91,10 +147,10 @@ class Table:
             piece = piece.select(ROW, *((c.dyn(Val(F.col(f"c{i}"), a, leaf=True)) if a != b else F.col(f"c{i}")).alias(f"c{i}") for i, (a, b) in enumerate(zip(own, classes))))
             df = piece if df is None else df.unionByName(piece)
         vals = [(col.name, Val(F.col(f"c{i}"), k, aff=aff, leaf=True)) for i, (col, k, aff) in enumerate(zip(self.columns, classes, self.affinities))]
-        return Source(df, vals, numbered=True, ordered=not self.parts)
+        return Source(df, vals, numbered=True)
 
 
-def local_frame(spark: SparkSession, rows: tuple[tuple, ...], classes: tuple[str, ...], base: int) -> DataFrame:
+def local_frame(spark: SparkSession, rows: Iterable[tuple], classes: tuple[str, ...], base: int) -> DataFrame:
     schema = T.StructType([T.StructField(ROW, T.LongType()), *(T.StructField(f"c{i}", _TYPES[k]) for i, k in enumerate(classes))])
     data = [(base + j, *(dyn_value(x) if k == DYN else x for x, k in zip(r, classes))) for j, r in enumerate(rows)]
     return spark.createDataFrame(data, schema)
@@ -106,6 +162,7 @@ class Part:
 
     path: str
     classes: tuple[str, ...]
+    rows: int = 0
 
     def read(self, spark: SparkSession, columns: int) -> DataFrame:
         schema = T.StructType([T.StructField(ROW, T.LongType()), *(T.StructField(f"c{i}", _TYPES[k]) for i, k in enumerate(self.classes))])
