@@ -55,7 +55,7 @@ QUERIES: dict[str, Query] = {
     "arith_int": Query("lineitem", "SELECT l_orderkey, l_linenumber + 1 AS a, l_linenumber * 2 AS b, l_linenumber / 2 AS c, l_linenumber % 3 AS d, 0 - l_linenumber AS e FROM lineitem", "SELECT l_orderkey, CAST(l_linenumber + 1 AS BIGINT) AS a, CAST(l_linenumber * 2 AS BIGINT) AS b, CAST(l_linenumber // 2 AS BIGINT) AS c, CAST(l_linenumber % 3 AS BIGINT) AS d, CAST(-l_linenumber AS BIGINT) AS e FROM lineitem"),
     "arith_int_wide": Query("orders", "SELECT o_orderkey, o_orderkey + 1 AS a, o_orderkey * 9223372036854775807 AS b FROM orders", "SELECT o_orderkey, o_orderkey + 1 AS a, CASE WHEN abs(o_orderkey) <= 1 THEN (o_orderkey * 9223372036854775807)::DOUBLE ELSE o_orderkey::DOUBLE * 9223372036854775807::DOUBLE END AS b FROM orders", "IIR"),
     "arith_real": Query("lineitem", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS a, l_quantity / 7 AS b, l_quantity % 7 AS c FROM lineitem", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_extendedprice * (1 - l_discount) AS a, l_quantity / 7 AS b, CAST(CAST(trunc(l_quantity) AS BIGINT) % 7 AS DOUBLE) AS c FROM lineitem"),
-    "arith_text": Query("part", "SELECT p_partkey, p_name + p_size AS a FROM part", "SELECT p_partkey, CAST(p_size AS BIGINT) AS a FROM part", "II"),
+    "arith_text": Query("orders", "SELECT o_orderkey, o_orderpriority + 10 AS a, o_orderpriority * 2.5 AS b, o_orderstatus - 1 AS c FROM orders", "SELECT o_orderkey, CAST(left(o_orderpriority, 1) AS BIGINT) + 10 AS a, CAST(left(o_orderpriority, 1) AS DOUBLE) * 2.5 AS b, CAST(-1 AS BIGINT) AS c FROM orders", "IIRI"),
     "div_zero_null": Query("part", "SELECT p_partkey, p_size / (p_size - 10) AS q, p_retailprice / 0 AS r, p_size % 0 AS m FROM part", "SELECT p_partkey, CAST(p_size // nullif(p_size - 10, 0) AS BIGINT) AS q, CAST(NULL AS DOUBLE) AS r, CAST(NULL AS BIGINT) AS m FROM part"),
     "negate": Query("supplier", "SELECT s_suppkey, -s_acctbal AS n, +s_nationkey AS p FROM supplier", "SELECT s_suppkey, -s_acctbal AS n, CAST(s_nationkey AS BIGINT) AS p FROM supplier"),
     # patterns
@@ -64,27 +64,30 @@ QUERIES: dict[str, Query] = {
     "like_escape": Query("part", "SELECT p_partkey FROM part WHERE p_brand LIKE 'brand!#1%' ESCAPE '!'", "SELECT p_partkey FROM part WHERE p_brand ILIKE 'Brand#1%'"),
     "like_number": Query("part", "SELECT p_partkey FROM part WHERE p_size LIKE '1_'", "SELECT p_partkey FROM part WHERE p_size::VARCHAR LIKE '1_'"),
     "glob": Query("part", "SELECT p_partkey FROM part WHERE p_brand GLOB 'Brand#[12]*'", "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '^Brand#[12]')"),
-    "not_glob": Query("part", "SELECT p_partkey FROM part WHERE p_brand NOT GLOB '*#[^1-3]?'", "SELECT p_partkey FROM part WHERE NOT regexp_matches(p_brand, '#[^1-3].$')"),
+    "not_glob": Query("part", "SELECT p_partkey FROM part WHERE p_brand NOT GLOB '*#[^2-9]?'", "SELECT p_partkey FROM part WHERE NOT regexp_matches(p_brand, '#[^2-9].$')"),
     # casts
     "cast_int": Query("part", "SELECT p_partkey, CAST(p_retailprice AS INTEGER) AS v, CAST(p_brand AS INT) AS w FROM part", "SELECT p_partkey, CAST(trunc(p_retailprice) AS BIGINT) AS v, CAST(0 AS BIGINT) AS w FROM part"),
+    "cast_text_int": Query("orders", "SELECT o_orderkey, CAST(o_orderpriority AS INTEGER) AS v, CAST(o_orderdate AS INTEGER) AS y FROM orders", "SELECT o_orderkey, CAST(left(o_orderpriority, 1) AS BIGINT) AS v, CAST(year(o_orderdate) AS BIGINT) AS y FROM orders"),
+    "cast_text_real": Query("orders", "SELECT o_orderkey, CAST(o_orderpriority AS REAL) AS v, CAST(CAST(o_totalprice AS TEXT) AS REAL) AS w FROM orders", "SELECT o_orderkey, CAST(left(o_orderpriority, 1) AS DOUBLE) AS v, o_totalprice AS w FROM orders"),
     "cast_real": Query("part", "SELECT p_partkey, CAST(p_size AS REAL) AS v FROM part", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS v FROM part"),
     "cast_text": Query("part", "SELECT p_partkey, CAST(p_size AS TEXT) AS v FROM part", "SELECT p_partkey, CAST(p_size AS VARCHAR) AS v FROM part"),
     "cast_real_text": Query("lineitem", "SELECT l_orderkey, CAST(l_quantity AS TEXT) AS v FROM lineitem", "SELECT l_orderkey, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.0' AS v FROM lineitem"),
     "cast_numeric": Query("events", "SELECT event_id, CAST(user_id AS NUMERIC) AS v, CAST(value AS DECIMAL) AS w FROM events", "SELECT event_id, user_id AS v, value AS w FROM events"),
+    "cast_text_numeric": Query("orders", "SELECT o_orderkey, CAST(o_orderpriority AS NUMERIC) AS v, CAST(CAST(o_totalprice AS TEXT) AS NUMERIC) AS w, CAST(o_orderstatus AS NUMERIC) AS x FROM orders", "SELECT o_orderkey, CAST(left(o_orderpriority, 1) AS BIGINT) AS v, o_totalprice AS w, CAST(0 AS BIGINT) AS x FROM orders", "IIRI"),
     "cast_blob": Query("region", "SELECT r_regionkey, CAST(CAST(r_name AS BLOB) AS TEXT) AS v FROM region", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name AS v FROM region"),
     # aggregates
     "count_star": Query("lineitem", "SELECT COUNT(*) AS n FROM lineitem", "SELECT count(*) AS n FROM lineitem"),
     "count_expr": Query("part", "SELECT COUNT(p_size / (p_size - 10)) AS n, COUNT(ALL p_size) AS m FROM part", "SELECT count(nullif(p_size - 10, 0)) AS n, count(p_size) AS m FROM part"),
     "count_distinct": Query("orders", "SELECT COUNT(DISTINCT o_custkey) AS n FROM orders", "SELECT count(DISTINCT o_custkey) AS n FROM orders"),
     "count_no_from": Query(None, "SELECT COUNT(*) AS n", "SELECT CAST(1 AS BIGINT) AS n"),
-    "sum_int": Query("part", "SELECT SUM(p_size) AS s FROM part", "SELECT CAST(sum(p_size) AS BIGINT) AS s FROM part"),
+    "sum_int": Query("part", "SELECT SUM(p_size) AS s FROM part", "SELECT CAST(sum(p_size) AS BIGINT) AS s FROM part", "I"),
     "sum_wide": Query("orders", "SELECT SUM(o_orderkey) AS s, SUM(o_custkey) AS c FROM orders", "SELECT CAST(sum(o_orderkey) AS BIGINT) AS s, CAST(sum(o_custkey) AS BIGINT) AS c FROM orders", "II"),
     "sum_real": Query("lineitem", "SELECT SUM(l_quantity) AS s FROM lineitem", "SELECT sum(l_quantity) AS s FROM lineitem"),
     "sum_distinct": Query("part", "SELECT SUM(DISTINCT p_size) AS s FROM part", "SELECT CAST(sum(DISTINCT p_size) AS BIGINT) AS s FROM part"),
     "avg": Query("part", "SELECT AVG(p_size) AS a FROM part", "SELECT avg(p_size) AS a FROM part"),
     "avg_distinct": Query("part", "SELECT AVG(DISTINCT p_size) AS a FROM part", "SELECT avg(DISTINCT p_size) AS a FROM part"),
     "min_max": Query("customer", "SELECT MIN(c_acctbal) AS lo, MAX(c_name) AS hi, MIN(c_custkey) AS k FROM customer", "SELECT min(c_acctbal) AS lo, max(c_name) AS hi, min(c_custkey) AS k FROM customer"),
-    "agg_empty": Query("part", "SELECT COUNT(*) AS n, SUM(p_size) AS s, AVG(p_size) AS a, MIN(p_name) AS m FROM part WHERE p_size < 0", "SELECT count(*) AS n, CAST(sum(p_size) AS BIGINT) AS s, avg(p_size) AS a, min(p_name) AS m FROM part WHERE p_size < 0"),
+    "agg_empty": Query("part", "SELECT COUNT(*) AS n, SUM(p_size) AS s, AVG(p_size) AS a, MIN(p_name) AS m FROM part WHERE p_size < 0", "SELECT count(*) AS n, CAST(sum(p_size) AS BIGINT) AS s, avg(p_size) AS a, min(p_name) AS m FROM part WHERE p_size < 0", "IIRT"),
     "agg_expression": Query("part", "SELECT SUM(p_size) / COUNT(*) AS a, MAX(p_size) - MIN(p_size) + 1 AS b FROM part", "SELECT CAST(sum(p_size) // count(*) AS BIGINT) AS a, CAST(max(p_size) - min(p_size) + 1 AS BIGINT) AS b FROM part", "II"),
     "group_by": Query("customer", "SELECT c_mktsegment, COUNT(*) AS n, MIN(c_acctbal) AS lo FROM customer GROUP BY c_mktsegment", "SELECT c_mktsegment, count(*) AS n, min(c_acctbal) AS lo FROM customer GROUP BY 1"),
     "group_by_multi": Query("orders", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2"),
@@ -99,11 +102,11 @@ QUERIES: dict[str, Query] = {
     "distinct_multi": Query("orders", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders"),
     "distinct_expr": Query("part", "SELECT DISTINCT p_size / (p_size - 10) AS q FROM part", "SELECT DISTINCT CAST(p_size // nullif(p_size - 10, 0) AS BIGINT) AS q FROM part"),
     "order_ordinal": Query("customer", "SELECT c_custkey, c_acctbal FROM customer ORDER BY 2 DESC, 1", "SELECT c_custkey, c_acctbal FROM customer"),
-    "order_desc": Query("customer", "SELECT c_name AS n, c_acctbal FROM customer ORDER BY c_acctbal DESC, n ASC LIMIT 50", "SELECT c_name AS n, c_acctbal FROM customer ORDER BY c_acctbal DESC, n LIMIT 50"),
-    "order_expr": Query("customer", "SELECT c_custkey, c_acctbal FROM customer ORDER BY -c_acctbal, c_custkey % 7, c_custkey LIMIT 20", "SELECT c_custkey, c_acctbal FROM customer ORDER BY -c_acctbal, c_custkey % 7, c_custkey LIMIT 20"),
-    "order_hidden": Query("customer", "SELECT c_name FROM customer ORDER BY c_acctbal, c_custkey LIMIT 15", "SELECT c_name FROM customer ORDER BY c_acctbal, c_custkey LIMIT 15"),
-    "order_nulls": Query("part", "SELECT p_size / (p_size - 10) AS q, p_partkey FROM part ORDER BY q, p_partkey LIMIT 60", "SELECT CAST(p_size // nullif(p_size - 10, 0) AS BIGINT) AS q, p_partkey FROM part ORDER BY q NULLS FIRST, p_partkey LIMIT 60"),
-    "order_aggregate": Query("orders", "SELECT o_orderpriority, COUNT(*) AS n FROM orders GROUP BY o_orderpriority ORDER BY COUNT(*) DESC, 1 LIMIT 3", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3"),
+    "order_desc": Query("customer", "SELECT c_name AS n, c_acctbal FROM customer ORDER BY c_acctbal DESC, n ASC", "SELECT c_name AS n, c_acctbal FROM customer ORDER BY c_acctbal DESC, n"),
+    "order_expr": Query("customer", "SELECT c_custkey, c_acctbal FROM customer ORDER BY -c_acctbal, c_custkey % 7, c_custkey", "SELECT c_custkey, c_acctbal FROM customer ORDER BY -c_acctbal, c_custkey % 7, c_custkey"),
+    "order_hidden": Query("customer", "SELECT c_name FROM customer ORDER BY c_acctbal, c_custkey", "SELECT c_name FROM customer ORDER BY c_acctbal, c_custkey"),
+    "order_nulls": Query("part", "SELECT p_size / (p_size - 10) AS q, p_partkey FROM part ORDER BY q, p_partkey", "SELECT CAST(p_size // nullif(p_size - 10, 0) AS BIGINT) AS q, p_partkey FROM part ORDER BY q NULLS FIRST, p_partkey"),
+    "order_aggregate": Query("orders", "SELECT o_orderpriority, COUNT(*) AS n FROM orders GROUP BY o_orderpriority ORDER BY COUNT(*) DESC, 1", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1"),
     "topk": Query("orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY 2 DESC, 1 LIMIT 10", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY 2 DESC, 1 LIMIT 10"),
     "limit_offset": Query("orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY 2 DESC, 1 LIMIT 10 OFFSET 5", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY 2 DESC, 1 LIMIT 10 OFFSET 5"),
     "limit_comma": Query("orders", "SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 7, 4", "SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 4 OFFSET 7"),
