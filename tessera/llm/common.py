@@ -14,6 +14,8 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +83,24 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def semi_join(df: DataFrame, keys: DataFrame, *values) -> DataFrame:
+    """``df``'s rows whose ``values`` are a row of ``keys``, whatever the names of either's columns."""
+    keys = keys.toDF(*free_names(df, *keys.columns))
+    on = [value.eqNullSafe(F.col(f"`{name}`")) for value, name in zip(values, keys.columns, strict=True)]
+    return df.join(keys.hint("shuffle_hash"), reduce(and_, on), "left_semi")
+
+
 def public_id(name: str = "doc_id"):
     """The id as the caller had it."""
     return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)

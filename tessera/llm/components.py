@@ -31,19 +31,15 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("a") != F.col("b")).distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b): the component is its least node."""
     now = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct()
     now = save(now, "links")
-    state = _state(now)
-    for _ in range(most_rounds):
+    before, state = None, _state(now)
+    while state != before and state[0]:
         new = save(_star(_star(now, True), False), "links")
         drop(now)
         now, before, state = new, state, _state(new)
-        if state == before:
-            break
-    else:
-        raise RuntimeError("links did not settle")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, drop, partitions, public_id, save, slices
+from .common import documents, drop, free_names, partitions, public_id, save, slices
 
 _BLANK = b" \t\n\x0b\x0c\r"
 _PLACES = pa.list_(pa.int32())
@@ -201,10 +201,13 @@ def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 def dedup_lines(df: DataFrame, least_chars: int = 40, least_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the lost lines taken out of its text column; other columns as they were."""
-    bitmaps = line_bitmaps(df, least_chars, least_docs, id_col, text_col).toDF("_line_id", "_line_hash", "_line_bits", "_line_map")
+    bitmaps = line_bitmaps(df, least_chars, least_docs, id_col, text_col)
+    names = free_names(df, *bitmaps.columns)
+    doc_id, text_hash, n_bits, bitmap = (F.col(f"`{x}`") for x in names)
+    text = F.col(f"`{text_col}`")
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63)))
-    joined = df.join(bitmaps.hint("shuffle_hash"), (key == F.col("_line_id")) & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col("_line_hash")), "left")
-    return joined.withColumn(text_col, _kept_text(F.col(f"`{text_col}`"), "_line_bits", "_line_map")).select(*(F.col(f"`{c}`") for c in df.columns))
+    joined = df.join(bitmaps.toDF(*names).hint("shuffle_hash"), (key == doc_id) & (F.xxhash64(F.coalesce(text, F.lit(""))) == text_hash), "left")
+    return joined.withColumn(text_col, _kept_text(text, n_bits, bitmap)).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def line_digests(df: DataFrame, least_chars: int = 40, least_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

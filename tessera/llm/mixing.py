@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, save
+from .common import free_names, partitions, save
 
 WEIGHTS = (5, 2, 1)
 #: Slopes of the schedules, repeating over the sources as the weights do: late, even, early.
@@ -118,9 +118,11 @@ def apply_mix(df: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: int = 3, seed:
     plan = _plan(df, weights, slopes, cap, seed, id_col, text_col, source_col, whole=True).filter("passes > 0")
     plan = plan.groupBy("doc_id", "source", "size").agg(F.max(F.struct("passes", "before", "source_size", "target", "all_words", "slope")).alias("x")).select("doc_id", "source", "size", "x.*")
     plan = plan.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1))).withColumn("position", _position(F.col("before") + F.col("pass") * F.col("source_size")))
-    plan = plan.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), F.col("position").alias("_mix_position"))
-    on = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_mix_id")) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("_mix_source")) & (word_count(F.col(f"`{text_col}`")) == F.col("_mix_size"))
-    return df.join(plan.hint("shuffle_hash"), on).orderBy("_mix_position", "_mix_id").select(*(F.col(f"`{c}`") for c in df.columns))
+    names = free_names(df, "doc_id", "source", "size", "position")
+    plan = plan.select("doc_id", "source", "size", "position").toDF(*names)
+    doc_id, source, size, position = (F.col(f"`{x}`") for x in names)
+    on = F.col(f"`{id_col}`").cast("long").eqNullSafe(doc_id) & F.col(f"`{source_col}`").cast("string").eqNullSafe(source) & (word_count(F.col(f"`{text_col}`")) == size)
+    return df.join(plan.hint("shuffle_hash"), on).orderBy(position, doc_id).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 #: The words of a document, and the mix without its positions, in SQL.
