@@ -18,13 +18,17 @@ alike, that copies most points into most cells; the number of cells (down to a
 single one, in which every block meets every other) is therefore the one that
 has the fewest pairs to compare on the sample. It decides the cost only.
 
-Bounds: ``sample`` points (those with the smallest hash) fit the centres, at most
-one for each ``cell_points`` points and ``most_cells`` in all. A block has at most
-``block_points`` points and ``BLOCK_BYTES``.
+Bounds: ``sample`` points or ``ROOTS`` times the root of their number, whichever is
+more, in ``SAMPLE_BYTES`` at most (those with the smallest hash), fit the centres:
+one for each ``cell_points`` points, and no more than a sample of ``PER_CELL`` points
+each can fit. So cells grow with the root of the input, and every point is indexed.
+Each length of vectors has centres of its own; one that the sample does not hold is
+a single cell. A block has at most ``block_points`` points and ``BLOCK_BYTES``.
 
 Defined cases: a vector that is null, zero, or holds a null or a non-finite
 number links with nothing and is kept; vectors of different lengths never link;
-rows that repeat an id are vectors of their own; an empty table gives an empty
+rows that repeat an id are vectors of their own; equal vectors link, and of a
+group's rows that share its smallest id all are kept; an empty table gives an empty
 table.
 """
 
@@ -38,12 +42,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, save
+from .common import NO_ID, save, semi_join
 from .components import components
 
 
 #: Bytes of vectors that a block holds at most.
 BLOCK_BYTES = 32 << 20
+#: The sample: roots of the number of points, bytes at most, and points for a centre at least.
+ROOTS, SAMPLE_BYTES, PER_CELL = 8, 128 << 20, 20
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +72,7 @@ def spherical_kmeans(x: np.ndarray, cells: int, rounds: int = 12, seed: int = 11
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        home = (x @ centres.T).argmax(axis=1)
+        home = np.concatenate([(x[low : low + 1024] @ centres.T).argmax(axis=1) for low in range(0, len(x), 1024)])
         sums = np.zeros_like(centres)
         np.add.at(sums, home, x)
         norm = np.linalg.norm(sums, axis=1)
@@ -97,7 +103,7 @@ def _fit(x: np.ndarray, cells: int, reach: float) -> np.ndarray | None:
     return fitted
 
 
-def _homes(centres, reaches: dict[int, float]):
+def _homes(centres, reach: float):
     """Each point's cell, and the cells into which it is copied."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_dim = centres.value
@@ -112,7 +118,7 @@ def _homes(centres, reaches: dict[int, float]):
                     none = np.zeros(len(which), np.int64)
                     rows.append((which, none, none, [none[:1].astype(np.int32).tobytes()] * len(which)))
                     continue
-                home, i, cell = _cells(x, c, reaches[dim])
+                home, i, cell = _cells(x, c, reach)
                 ends = np.searchsorted(i, np.arange(len(x) + 1)).tolist()
                 own = [cell[u:v].astype(np.int32).tobytes() for u, v in zip(ends[:-1], ends[1:])]
                 rows.append((which[i], home[i], cell, [own[k] for k in i.tolist()]))
@@ -155,10 +161,8 @@ def _compare(threshold: float):
         own = table["i"][0].as_py() == table["j"][0].as_py()
         rows, columns = (np.arange(len(point)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         cells = table["cells"].to_pylist()
-        present = np.zeros((len(point), int(max(home.max(), cell)) + 1), bool)
-        for k, i in enumerate(order.tolist()):
-            own_cells = np.frombuffer(cells[i], np.int32)
-            present[k, own_cells[own_cells < present.shape[1]]] = True
+        in_cells = [np.frombuffer(cells[i], np.int32) for i in order.tolist()]
+        present = (np.repeat(np.arange(len(point)), [len(c) for c in in_cells]) << 32) | np.concatenate(in_cells)  # sorted
         count = np.zeros(len(point), np.int64)
         label = np.arange(len(point))
         for low in range(0, len(rows), 512):
@@ -171,7 +175,8 @@ def _compare(threshold: float):
             at_home, other = home[i] == cell, home[j] == cell
             ok &= at_home | other
             away = np.where(at_home, home[j], home[i])
-            ok &= (away >= cell) | ~present[np.where(at_home, i, j), away]
+            key = (np.where(at_home, i, j) << 32) | away
+            ok &= (away >= cell) | (present[np.minimum(np.searchsorted(present, key), len(present) - 1)] != key)
             i, j = i[ok], j[ok]
             np.add.at(count, i, times[j])
             np.add.at(count, j, times[i])
@@ -184,28 +189,27 @@ def _compare(threshold: float):
     return run
 
 
-def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, sample: int = 20_000, cell_points: int = 2000, most_cells: int = 1024, block_points: int = 8192, reach: float | None = None) -> DataFrame:
+def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, sample: int = 20_000, cell_points: int = 2000, block_points: int = 8192, reach: float | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every vector."""
     spark = df.sparkSession
     vectors = df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
     vectors = save(vectors.mapInArrow(_units, "vec_id long, unit binary"), "units")
     points = vectors.filter("unit is not null").groupBy("unit").agg(F.count(F.lit(1)).alias("times"), F.min("vec_id").alias("least"))
     points = save(points.withColumn("point", F.monotonically_increasing_id()).withColumn("dim", F.expr("cast(octet_length(unit) div 8 as int)")), "points")
-    # lengths of vectors: centres are fitted for the most frequent ones, others have one cell
-    sizes = points.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(8).collect()
-    picked = points.orderBy(F.xxhash64("unit"), "point").limit(sample).select("dim", "unit").toArrow()
+    n, widest = points.agg(F.count(F.lit(1)), F.max("dim")).collect()[0]
+    rows = min(max(sample, ROOTS * math.isqrt(n)), max(1, SAMPLE_BYTES // (8 * (widest or 1))))
+    picked = points.orderBy(F.xxhash64("unit"), "point").limit(rows).select("dim", "unit").toArrow()
     dims, units = picked["dim"].to_numpy(), picked["unit"].to_pylist()
-    centres, reaches = {}, {}
-    for r in sizes:
-        own = [u for d, u in zip(dims, units) if d == r.dim]
-        cells = min(most_cells, max(1, r.n // cell_points), len(own))
-        longest = math.sqrt(max(0.0, 2 - 2 * threshold))
-        reaches[r.dim] = longest / 2 if reach is None else reach
-        if cells > 1 and (fitted := _fit(np.frombuffer(b"".join(own), np.float64).reshape(-1, r.dim), cells, reaches[r.dim])) is not None:
-            centres[r.dim] = fitted
-    homes = points.mapInArrow(_homes(spark.sparkContext.broadcast(centres), reaches), "point long, dim int, cell long, home long, cells binary, unit binary")
+    centres = {}
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2 if reach is None else reach
+    for dim in np.unique(dims).tolist():
+        own = [units[i] for i in np.flatnonzero(dims == dim).tolist()]
+        cells = min(n * len(own) // len(units) // cell_points, len(own) // PER_CELL)
+        if cells > 1 and (fitted := _fit(np.frombuffer(b"".join(own), np.float64).reshape(-1, dim), cells, reach)) is not None:
+            centres[dim] = fitted
+    homes = points.mapInArrow(_homes(spark.sparkContext.broadcast(centres), reach), "point long, dim int, cell long, home long, cells binary, unit binary")
     homes = save(homes, "cells")
-    # at most most_cells x 8 rows, and one for each further length of vectors
+    # a row for each cell
     blocks = homes.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / F.greatest(F.lit(1), F.least(F.lit(block_points), F.expr(f"{BLOCK_BYTES} div (8 * dim)")))).cast("int").alias("blocks"))
     dealt = homes.join(blocks, ["dim", "cell"]).join(points.select("point", "times"), "point").withColumn("own", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
@@ -223,5 +227,5 @@ def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", t
 
 def dedup_embeddings(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", **options) -> DataFrame:
     """``df``'s rows that represent their group."""
-    kept = link(df, id_col, vector_col, **options).filter("kept").select(F.col("vec_id").alias("_kept_id")).distinct()
-    return df.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = link(df, id_col, vector_col, **options).filter("kept").select("vec_id").distinct()
+    return semi_join(df, kept, F.col(f"`{id_col}`").cast("long"))

@@ -249,6 +249,38 @@ def test_embeddings_lose_no_link_in_a_subspace(spark):
     assert [got[i] for i in range(3000)] == ((x @ x.T >= 0.9).sum(axis=1) - 1).tolist()
 
 
+@pytest.mark.parametrize("dim, inner, noise", [(256, 4, 0.01), (256, 8, 0.05), (384, 16, 0.02)])
+def test_embeddings_of_many_cells_lose_no_link(spark, dim, inner, noise):
+    # wide vectors near a narrow subspace, as learned ones are
+    rng = np.random.default_rng(dim + inner)
+    x = rng.normal(size=(2500, inner)) @ rng.normal(size=(inner, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    other = x[rng.permutation(1250)]
+    x[1250:] = x[:1250] + 0.45 * (other - (other * x[:1250]).sum(axis=1)[:, None] * x[:1250])  # partners, a little below and above the threshold
+    x += rng.normal(size=x.shape) * noise / math.sqrt(dim)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    c = embedding_dedup.spherical_kmeans(x, 40)
+    reach = math.sqrt(0.2) / 2
+    home, i, cell = embedding_dedup._cells(x, c, reach)
+    held = np.zeros((len(x), len(c)), bool)
+    held[i, cell] = True
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    assert len(a) > 100 and len(set(home.tolist())) >= 20
+    assert (held[a, home[b]] | held[b, home[a]]).all()  # each near pair meets in the home of one of the two
+
+
+def test_embeddings_of_many_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for dim in range(2, 30):
+        for _ in range(60):
+            rows.append((len(rows), rng.normal(size=dim).tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.link(df, cell_points=4).collect()}
+    degree = Counter(x for pair in brute_embeddings(rows) for x in pair)
+    assert got == {i: degree[i] for i, _ in rows}
+
+
 def test_embeddings_choose_cells_by_work(spark):
     x = np.random.default_rng(9).normal(size=(2000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -368,3 +400,30 @@ def test_empty_tables(spark):
     folder = scratch(spark) + "/tokens-empty"
     assert token_files.write_tokens(e, folder, path, 0)["parts"] == []
     assert token_files.read_tokens(spark, folder).count() == 0
+
+
+def test_long_near_copies_take_little_memory():
+    import tracemalloc
+
+    rng = random.Random(44)
+    a = [f"w{rng.randrange(40_000)}" for _ in range(120_000)]
+    b = list(a)
+    for at in rng.sample(range(len(b)), 60):
+        b[at] = "edit"
+    tracemalloc.start()
+    assert minhash.banded_distance(a, b, len(a) // 5) == 60
+    # no copies: the widest band is tried, too
+    assert minhash.banded_distance(a[:20_000], [f"v{x}" for x in range(20_000)], 4_000) is None
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+
+
+def test_long_banded_distance():
+    rng = random.Random(45)
+    for _ in range(20):
+        a = [rng.choice("abcdefgh") for _ in range(rng.randint(900, 2300))]
+        b = [x if rng.random() < 0.97 else rng.choice("abcdefgh") for x in a if rng.random() < 0.98]
+        b[500:500] = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))]
+        d, most = minhash.banded_distance(a, b, 3000), len(a) // 4
+        small = minhash._banded(a, b, d)
+        assert small == d and minhash._banded(a, b, d - 1) is None and minhash._banded(a, b, most) == d
