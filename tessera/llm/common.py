@@ -75,6 +75,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
+    """``df``, to be broadcast if the ``rows`` that it can have at most are few."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that the text operators read, null-free: ``doc_id`` long, ``text`` string."""
     return df.select(

@@ -11,9 +11,11 @@ Only the first and last hash of a partition can go on elsewhere; their counts
 (two rows a partition at most) are summed afterwards. What comes back is a
 deflated bitmap for each document; texts never travel with the hashes.
 
-Defined cases: a null or empty text is one empty line; rows that repeat an id
-are one document for the count, and each row loses its own lines; an empty table
-gives an empty table.
+Defined cases: a null or empty text is one empty line; a long text's lines are
+hashed one by one, and its bitmap has a bit for each up to its last lost line; rows
+that repeat an id are one document for the count, and each row loses its own lines;
+of the documents that hold a line the one with the largest id keeps it, in all its
+rows; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, drop, free_names, partitions, public_id, save, slices
+from .common import documents, drop, free_names, partitions, public_id, save, slices, small
 
 _BLANK = b" \t\n\x0b\x0c\r"
 _PLACES = pa.list_(pa.int32())
@@ -39,6 +41,8 @@ _LINES_DDL = "h1 long, h2 long, doc_id long, text_hash long, places array<int>"
 #: partition knows of such a hash (doc_id: the largest document, text_hash: the number of documents).
 _RUNS = pa.schema([("kind", pa.int32()), *_LINES])
 _GOES, _OPEN, _COUNT = 0, 1, 2
+#: Rows of hashes that one partition sorts, about.
+PART_ROWS = 2_000_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -183,13 +187,13 @@ def line_bitmaps(df: DataFrame, least_chars: int = 40, least_docs: int = 5, id_c
     """(doc_id, text_hash, n_bits, bitmap) for each document that loses a line; a clear bit is a lost line."""
     docs = documents(df, id_col, text_col)
     lines = save(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_hash_lines(least_chars), _LINES_DDL), "lines")
-    n = partitions(df.sparkSession)
+    n = max(partitions(df.sparkSession), lines.count() // PART_ROWS)
     ranged = lines.repartitionByRange(n, "h1", "h2", F.col("doc_id").desc()).sortWithinPartitions("h1", "h2", F.col("doc_id").desc(), F.element_at("places", 1))
     runs = save(ranged.mapInArrow(_stream(least_docs), "kind int, " + _LINES_DDL), "line-runs")
     drop(lines)
-    # two rows for each partition at most, so the sums fit a broadcast at any size of the input
+    # two rows for each partition at most
     sums = runs.filter(F.col("kind") == _COUNT).groupBy("h1", "h2").agg(F.sum("text_hash").alias("docs"), F.max("doc_id").alias("top")).filter(F.col("docs") >= least_docs)
-    open_ = runs.filter(F.col("kind") == _OPEN).join(F.broadcast(sums), ["h1", "h2"]).filter(F.col("doc_id") != F.col("top"))
+    open_ = runs.filter(F.col("kind") == _OPEN).join(small(sums, 2 * n), ["h1", "h2"]).filter(F.col("doc_id") != F.col("top"))
     goes = runs.filter(F.col("kind") == _GOES).select("doc_id", "text_hash", "places").unionByName(open_.select("doc_id", "text_hash", "places"))
     return goes.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("places")).alias("places")).mapInArrow(_bitmaps, "doc_id long, text_hash long, n_bits int, bitmap binary")
 

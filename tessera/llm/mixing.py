@@ -13,9 +13,14 @@ A source's order is cut into blocks, so that no source is summed in one task:
 words are summed by (source, block), the blocks' sums give each block its base,
 and only within a block do documents follow one another in a window.
 
-Defined cases: a null text has no words; null is a source of its own and comes
-last; a document without words takes none; repeated rows are documents of their
-own; an empty table gives an empty table.
+A row for each source is ranked in one task; documents are not.
+
+Defined cases: a null text has no words; a text is counted where it is read, however
+long; null is a source of its own and comes last; a document without words takes
+none; rows that repeat an id are documents of their own, and their places differ if
+their sizes do; of rows with one id, source and size it does not matter which
+comes first; sources with one cap for their weight are capped in code point order;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -74,7 +79,8 @@ def _plan(df: DataFrame, weights, slopes, cap: int, seed: int, id_col: str, text
     # a few short columns of all documents: what follows reads them more than once, the texts once
     docs = save(docs, "mix-sizes")
     id_ = F.coalesce(F.pmod("doc_id", F.lit(_PRIME)), F.lit(0))
-    docs = docs.withColumn("turn", F.pmod(id_ * seed + 12345, F.lit(_PRIME)))
+    # the size as well, so that rows of one id (null, say) are dealt to many blocks
+    docs = docs.withColumn("turn", F.pmod(id_ * seed + F.pmod("size", F.lit(65536)) * 1566083941 + 12345, F.lit(_PRIME)))
     blocks = max(partitions(df.sparkSession), docs.count() // BLOCK_ROWS)
     docs = docs.withColumn("block", F.expr(f"turn * {blocks} div {_PRIME}"))
     by_source = targets(docs, weights, cap)
@@ -96,7 +102,7 @@ def _plan(df: DataFrame, weights, slopes, cap: int, seed: int, id_col: str, text
     return docs.withColumn("passes", passes).withColumn("slope", slope)
 
 
-def mix(df: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: int = 3, seed: int = 48271, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False) -> DataFrame:
+def mix(df: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: int = 3, seed: int = 1103515245, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, passes, position), sorted by position.
 
     ``taken``: the words that the mix takes of the document, repeats counted.
@@ -109,7 +115,7 @@ def mix(df: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: int = 3, seed: int =
     return plan.select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "position").orderBy("position", "doc_id")
 
 
-def apply_mix(df: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: int = 3, seed: int = 48271, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def apply_mix(df: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: int = 3, seed: int = 1103515245, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``df``'s rows, each as often as the mix takes it whole, sorted by training position.
 
     Rows that agree in id, source and number of words share their passes: each
@@ -139,7 +145,7 @@ z AS (SELECT source, source_size, all_words, rank, CASE WHEN capped THEN most EL
 o AS (SELECT d.doc_id, d.size, z.source_size, z.target, z.all_words,
   CASE z.rank % 4 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE WHEN 2 THEN -0.5::DOUBLE ELSE 0.25::DOUBLE END AS b,
   CAST(floor(z.target + 0.5) AS BIGINT) AS wanted,
-  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY (coalesce(((d.doc_id % 2147483647) + 2147483647) % 2147483647, 0) * 48271 + 12345) % 2147483647, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY (coalesce(((d.doc_id % 2147483647) + 2147483647) % 2147483647, 0) * 1103515245 + (d.size % 65536) * 1566083941 + 12345) % 2147483647, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN wanted // source_size ELSE 0 END AS passes, CASE WHEN target > 0 THEN least(before::DOUBLE / target, 1.0::DOUBLE) ELSE 0.0::DOUBLE END AS c FROM o)
 SELECT doc_id, size, source_size, target,

@@ -17,8 +17,11 @@ Each piece then gets its number among the pieces of its length (counted by lengt
 and block, so that a length that a third of all pieces have is spread out) and
 looks up the run that number falls in; sequence and place follow by arithmetic.
 
-Defined cases: a null or empty text is the end id alone; repeated rows are pieces
-of their own; an empty table gives an empty table.
+Defined cases: a null or empty text is the end id alone; a long text is encoded in
+one go (its ids take four bytes each) and cut; repeated rows are pieces of their
+own; pieces of one length are numbered by block, id, piece and checksum, so which of
+two equal pieces takes which place says nothing; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -214,7 +217,7 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, s
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     slots = spark.sparkContext.broadcast(_slots(plan(counts, capacity)))
     blocks = max(partitions(spark), sum(counts.values()) // BLOCK_ROWS)
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
+    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)))
     bases = pieces.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     bases = bases.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     own = F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32"))

@@ -16,8 +16,12 @@ order with their bases, the prefix sums of their sizes; a base plus a part's
 offset is a document's place in the whole. Reading maps the files into memory
 where the folder is a file system's, else reads ranges of them.
 
-Defined cases: a null or empty text is the end id alone; rows of one id follow
-one another by a hash of their texts; an empty table gives an index without parts.
+A partition holds ``PART_BYTES`` of text or a single text; a long text is encoded in
+one go (its ids take four bytes each).
+
+Defined cases: a null or empty text is the end id alone; rows of one id (null, say)
+follow one another by a hash of their texts, over as many parts as they fill; equal
+rows are equal in the files too; an empty table gives an index without parts.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ from .common import documents, partitions, public_id, slices
 from .tokens import SLICE, encoder, with_end
 
 _PART = "part int, docs long, tokens long"
+#: Bytes of text that one part is made of, about.
+PART_BYTES = 64 << 20
 
 
 def _at(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -82,7 +88,9 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, end_id: int, space_
     width = 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     fs, base = _at(folder)
     fs.create_dir(base, recursive=True)
-    docs = documents(df, id_col, text_col).repartitionByRange(partitions(df.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    docs = documents(df, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0
+    docs = docs.repartitionByRange(max(partitions(df.sparkSession), size // PART_BYTES), "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     rows = sorted(docs.mapInArrow(_writer(folder, tokenizer, space_leads, end_id), _PART).collect())  # a row for each part
     parts, first_doc, first_token = [], 0, 0
     for r in rows:

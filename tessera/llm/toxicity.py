@@ -15,13 +15,21 @@ As the lower orders are shared, the ratio of an n-gram that neither class has
 seen depends on its context alone: scoring takes one look-up among n-grams (8
 bytes, packed in an integer, so nothing collides) and one among contexts.
 
-Bounds: at most ``max_docs`` labelled documents of each class are learned from,
-those with the smallest hash of their id, and at most ``max_words`` different
-words of them, the most frequent; two thirds grow the models, a third calibrates.
+The mean alone does not do where a few words of a long document are toxic: on
+the test table's held-out rows it finds 6 of 144 at 5 false ones of 1200, and with
+contexts that cross words 1 to 4 of 144 (the best stretch of up to 12 words: 68 at
+most); with the other two statistics it is 131 at 4.
 
-Defined cases: a null or empty text has mean ratios of 0; labels repeated for an
-id count as toxic if one is; without labelled documents of both classes every
-score is 0; an empty table gives an empty table.
+Bounds: at most ``max_docs`` labelled documents of each class are learned from,
+those with the smallest hash of their id (ties: the smallest id), with all of their
+words, however rare: the models are as large as those documents' vocabulary. Two
+thirds grow the models, a third calibrates.
+
+Defined cases: a null or empty text has mean ratios of 0; a text is scored whole,
+however long; labels repeated for an id count as toxic if one is; rows that repeat
+an id are scored each by its text, and learned from each if the id is picked;
+without labelled documents of both classes every score is 0; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -34,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, public_id, slices, text_bytes
+from .common import documents, public_id, slices, small, text_bytes
 
 ORDER = 8
 DISCOUNT = 0.75
@@ -183,7 +191,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.bincount(code, toxic, n).astype(np.int64)), pa.array(np.bincount(code, ~toxic, n).astype(np.int64))], names=["word", "toxic", "ordinary"])
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 3000, max_words: int = 400_000) -> tuple[Models, Calibration] | None:
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 3000) -> tuple[Models, Calibration] | None:
     """Learn the models and their calibration from labelled documents."""
     marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit("toxicity"))
@@ -198,12 +206,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         tune = grow
     docs = documents(df, id_col, text_col)
 
-    def texts(some: list[tuple[int, int]]) -> DataFrame:  # max_docs x 2 rows
-        rows = df.sparkSession.createDataFrame(some, "doc_id long, toxic int")
-        return docs.join(F.broadcast(rows), "doc_id")
+    def texts(some: list[tuple[int, int]]) -> DataFrame:
+        return docs.join(small(df.sparkSession.createDataFrame(some, "doc_id long, toxic int"), len(some)), "doc_id")
 
     words = texts(grow).mapInArrow(_count_words, "word string, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    table = words.orderBy((F.col("toxic") + F.col("ordinary")).desc(), "word").limit(max_words).toArrow().combine_chunks()
+    table = words.toArrow().sort_by("word").combine_chunks()  # the words of max_docs x 2 documents
     models = Models(_plain(table["word"]), table["toxic"].to_numpy().astype(float), table["ordinary"].to_numpy().astype(float))
     if not len(models.grams):
         return None

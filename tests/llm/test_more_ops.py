@@ -171,13 +171,76 @@ def test_toxicity_without_labels(spark):
     assert len(got) == len(awkward(docs=5)) and all(r.score == 0 and r.predicted == 0 for r in got)
 
 
-def test_kneser_ney_probabilities_sum_to_one():
-    import pyarrow as pa
-
-    words = pa.array(["abc", "abd", "xbc", "b"])
-    grams = np.unique(toxicity._grams(words)[0])
-    shared = toxicity.Models._shared(grams)
-    assert ((shared > 0) & (shared < 1)).all()
+class PlainKneserNey:
+    """The two models in plain Python: dictionaries of counts, and a recursion over shorter contexts."""
+
+    def __init__(self, words, toxic, ordinary, order=8, discount=0.75):
+        self.order, self.discount = order, discount
+        self.count = [Counter(), Counter()]
+        for word, *weights in zip(words, toxic, ordinary):
+            text = b"\0" * (order - 1) + word.encode() + b"\1"
+            for i in range(order - 1, len(text)):
+                for c, w in zip(self.count, weights):
+                    c[text[i - order + 1 : i + 1]] += w
+        # lower orders: how many different letters stand before
+        kinds = {g for c in self.count for g, n in c.items() if n}
+        self.lower = {}
+        for k in range(order - 1, 0, -1):
+            self.lower[k] = Counter(g[1:] for g in kinds)
+            kinds = set(self.lower[k])
+
+    def shared(self, context, letter):
+        k = len(context) + 1
+        here = {g: n for g, n in self.lower[k].items() if g[:-1] == context}
+        below = self.shared(context[1:], letter) if k > 1 else 1 / 256
+        if not here:
+            return below
+        total = sum(here.values())
+        return max(here.get(context + letter, 0) - self.discount, 0) / total + self.discount * len(here) / total * below
+
+    def p(self, which, context, letter):
+        here = {g: n for g, n in self.count[which].items() if g[:-1] == context and n}
+        below = self.shared(context[1:], letter)
+        if not here:
+            return below
+        total = sum(here.values())
+        return max(here.get(context + letter, 0) - self.discount, 0) / total + self.discount * len(here) / total * below
+
+
+def test_kneser_ney_equals_a_plain_one():
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(25)})
+    toxic, ordinary = ([rng.choice([0, 0, 1, 2, 5]) for _ in words] for _ in "ab")
+    toxic = [t or (not o) for t, o in zip(toxic, ordinary)]  # each word is in one of the two at least
+    models = toxicity.Models(pa.array(words), np.array(toxic, float), np.array(ordinary, float))
+    plain = PlainKneserNey(words, toxic, ordinary)
+    contexts = {g[:-1] for c in plain.count for g, n in c.items() if n}
+    for context in sorted(contexts)[:40]:
+        for which in (0, 1):  # probabilities over all letters
+            assert sum(plain.p(which, context, bytes([x])) for x in range(256)) == pytest.approx(1)
+    for gram, ratio in zip(models.grams.tolist(), models.gram_ratio.tolist()):
+        g = gram.to_bytes(8, "big")
+        assert ratio == pytest.approx(math.log(plain.p(0, g[:-1], g[-1:]) / plain.p(1, g[:-1], g[-1:])), abs=1e-5)
+    # a letter that neither class has after a known context, and a context that neither knows
+    known = sorted(contexts)[3]
+    new = next(bytes([x]) for x in range(97, 123) if all(not c[known + bytes([x])] for c in plain.count))
+    at = np.searchsorted(models.contexts, int.from_bytes(known, "big"))
+    assert models.context_ratio[at] == pytest.approx(math.log(plain.p(0, known, new) / plain.p(1, known, new)), abs=1e-5)
+    got = models.ratios(pa.array([*words, "zzzzzzzzzzzz"]))
+    for word, ratio in zip(words, got.tolist()):
+        text = b"\0" * 7 + word.encode() + b"\1"
+        want = sum(math.log(plain.p(0, text[i - 7 : i], text[i : i + 1]) / plain.p(1, text[i - 7 : i], text[i : i + 1])) for i in range(7, len(text)))
+        assert ratio == pytest.approx(want, abs=1e-4)
+
+
+def test_toxicity_learns_from_rare_words(spark):
+    # every word of the picked documents counts, however many there are
+    rows = [(i, f"common words here and {'vile' if i % 2 else 'kind'}{i} once") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    models, _ = toxicity.fit(frame(spark, rows), labels)
+    learned = [f"{'vile' if i % 2 else 'kind'}{i}" for i in range(300)]
+    known = models.ratios(pa.array(learned))
+    assert sum((r > 0) == (i % 2 == 1) for i, r in enumerate(known)) >= 190 and len(models.grams) > 400
 
 
 def brute_groups(n, links):

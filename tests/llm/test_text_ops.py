@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -106,6 +107,67 @@ def test_quality_rules(spark):
     assert Counter(r.doc_id for r in filtered.collect()) == Counter(r.doc_id for r in got if r.kept)
 
 
+def path_length(rows, row, depth, limit, forest, node):
+    """A walk down one tree, and what a leaf of several rows still stands for."""
+    if forest.feature[node] < 0:
+        n = len(rows)
+        rest = 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+        assert n <= 1 or depth == limit or all((r == rows[0]).all() for r in rows)
+        return depth + rest
+    f, s = forest.feature[node], forest.split[node]
+    side = int(row[f] >= s)
+    return path_length([r for r in rows if (r[f] >= s) == bool(side)], row, depth + 1, limit, forest, forest.child[node] + side)
+
+
+@pytest.mark.parametrize("rows, subsample", [(300, 64), (40, 256), (3, 2), (1, 4)])
+def test_forest_scores_are_plain_path_lengths(rows, subsample):
+    import numpy as np
+
+    rng = np.random.default_rng(rows)
+    grown, other = rng.normal(size=(rows, 5)), rng.normal(size=(20, 5)) * 3
+    forest = quality.Forest(grown, np.full(5, 0.3), 12, subsample, 1)
+    leaf = quality._mean_path(2**forest.depth)
+    for given, grew in ((other, False), (grown, True)):
+        want = []
+        for i, row in enumerate(given):
+            paths = [path_length(list(grown[taken]), row, 0, forest.depth, forest, root) for root, taken in zip(forest.roots, forest.taken) if not grew or i not in set(taken.tolist())]
+            want.append(2.0 ** (-(sum(paths) / max(len(paths), 1)) / max(leaf, 1e-9)))
+        assert forest.score(given, grew) == pytest.approx(np.array(want))
+
+
+def test_quality_verdict_on_rows_it_has_not_seen(spark):
+    rng = random.Random(15)
+    rows, marks = [], []
+    for i in range(600):
+        bad = i % 4 == 3
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) + ("#" * rng.randint(1, 3) if bad and rng.random() < 0.5 else "") for _ in range(rng.randint(60, 200))]
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(not bad)))
+    labels = spark.createDataFrame([(i, q) for i, q in marks if i % 3], "key long, good int")
+    df = frame(spark, rows)
+    got = {r.doc_id: r.kept for r in quality.quality(df, labels.withColumnsRenamed({"key": "doc_id", "good": "quality"})).collect()}
+    held = [(got[i], q) for i, q in marks if i % 3 == 0]
+    assert sum(k for k, q in held if q) >= 0.97 * sum(q for _, q in held)
+    assert sum(not k for k, q in held if not q) >= 0.9 * sum(not q for _, q in held)
+    renamed = df.withColumnRenamed("doc_id", "key")
+    same = {r.doc_id: r.kept for r in quality.quality(renamed, labels, id_col="key", label_col="good").collect()}
+    assert same == got
+
+
+@pytest.mark.parametrize("marks", [[(0, 1), (1, 0)], [(0, 1), (2, 1), (1, 0)], [(1, 0)], [(0, 1)]])
+def test_quality_of_few_labels(spark, marks):
+    rows = [(i, " ".join(f"word{j * (i + 3)}" + "$" * (i % 2) for j in range(80))) for i in range(6)]
+    got = quality.quality(frame(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int")).collect()
+    assert len(got) == 6 and all(r.kept for r in got if not r.doc_id % 2)
+
+
+def test_quality_of_long_text(spark):
+    rng = random.Random(3)
+    text = "\n".join(" ".join(f"w{rng.randrange(5000)}" for _ in range(40)) for _ in range(2500))
+    got = quality.quality(frame(spark, [(1, text), (1, text)]), spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert [tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for r in got] == [brute_statistics(text)] * 2
+
+
 def test_quality_without_labels_keeps_what_the_rules_keep(spark):
     rows = awkward()
     got = quality.quality(frame(spark, rows), spark.createDataFrame([], "doc_id long, quality int")).collect()
@@ -141,6 +203,33 @@ def test_mixing_targets_and_taken(spark):
     assert [r.position for r in got] == sorted(r.position for r in got)
 
 
+def test_blocks_and_turns_of_one_id(spark):
+    # a third of all rows without an id: no block holds them all
+    rows = [(None if i % 3 == 0 else i, "w " * (1 + i % 50) + str(i)) for i in range(3000)]
+    docs, _, _ = blocks.in_blocks(frame(spark, rows), "doc_id", "text")
+    assert docs.select("block").distinct().count() == 1  # a small corpus is one block
+    spread = docs.selectExpr("pmod(xxhash64(doc_id, h1), 8) b").groupBy("b").count().collect()
+    assert max(r["count"] for r in spread) < 3000 / 8 * 1.5
+    got = mixing._plan(frame(spark, rows), mixing.WEIGHTS, mixing.SLOPES, 3, 1103515245, "doc_id", "text", "source", False).groupBy("block").count().collect()
+    assert max(r["count"] for r in got) < 3000 / 4 * 1.6
+
+
+def test_helper_columns_do_not_clash(spark):
+    from tessera.llm import embedding_dedup, minhash
+
+    rows = awkward(docs=20)
+    names = ["doc_id_", "text_hash", "n_bits", "bitmap", "h1", "size", "position", "kept", "Source_", "vec_id"]
+    df = frame(spark, rows)
+    for n in names:
+        if n not in df.columns:
+            df = df.withColumn(n, mixing.F.lit(1))
+    assert Counter(r.doc_id for r in line_dedup.dedup_lines(df).collect()) == Counter(i for i, _ in rows)
+    for out in (line_dedup.dedup_lines(df), mixing.apply_mix(df), minhash.dedup_near(df)):
+        assert out.columns == df.columns and out.count() > 10
+    vectors = spark.createDataFrame([(i, [float(i % 3), 1.0], 5, 6) for i in range(9)], "vec_id long, embedding array<double>, VEC_ID_ int, kept int")
+    assert {r.vec_id for r in embedding_dedup.dedup_embeddings(vectors).collect()} == {0, 1}
+
+
 def test_apply_mix_repeats_rows(spark):
     rows = [(i, "w " * (1 + i % 7)) for i in range(200)]
     df = frame(spark, rows, ("a", "b", "c", "c", "c", "c"))
@@ -184,8 +273,6 @@ def brute_lm(rows, order, backoff):
     grams = lambda w, n: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
     total = {n: sum((grams(w, n) for w in docs), Counter()) for n in range(1, order + 1)}
     words = sum(map(len, docs))
-    import math
-
     out = []
     for (i, _), w in zip(rows, docs):
         own = {n: grams(w, n) for n in range(1, order + 1)}
