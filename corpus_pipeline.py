@@ -9,6 +9,16 @@ on the columns of ``documents``; the last one gives the packed pieces.
 4. mixing: documents are taken as often as their source's target asks for, in
    the order of the curriculum;
 5. best-fit packing: token pieces in sequences of 2048.
+
+Defined cases: a null or empty text has no words, so the first stage rejects it; a
+null id is an id like others; rows that repeat an id are judged each by its text,
+and rows that repeat an id and a text are one document from the third stage on,
+each row of which stays or goes with the others; long texts go through whole; of
+near copies the one with the smallest id stays, and ties are those of the
+operators; columns besides those of ``documents``, whatever their names, are handed
+on untouched up to the last stage; ``n_chars`` follows the text where it is there;
+without labels of both kinds the first stage applies its fixed rules only; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
