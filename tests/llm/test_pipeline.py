@@ -1,10 +1,13 @@
+import hashlib
 import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 from tessera.llm import line_dedup, minhash, mixing, quality
 
-from .corpus import sentence
+from .corpus import awkward, frame, sentence
+from .test_more_ops import check_packing, ids_of
+from .test_text_ops import brute_lines, brute_statistics
 
 
 def tables(spark, folder, empty=False):
@@ -67,6 +70,50 @@ def test_stages_follow_one_another(spark, tmp_path):
     assert len(corpus_pipeline.run(spark, d).collect()) == sum(seen[-1].values())
 
 
+def test_awkward_documents(spark, tmp_path):
+    """Null and repeated ids, repeated rows, copies, a long text, clashing columns: stage by stage against brute force."""
+    rng = random.Random(5)
+    rows = awkward(docs=30) + [(None, sentence(rng, 90)), (None, sentence(rng, 80))] + [(2000, sentence(rng, 70))] * 3
+    rows += [(2001, rows[-1][1] + " tail"), (2002, sentence(rng, 40_000)), (2003, None), (None, None)]
+    hot = sentence(rng, 12)
+    rows += [(3000 + i, f"{hot}\n{sentence(rng, 60)}") for i in range(8)]
+    docs = frame(spark, rows).selectExpr("*", "1 doc_id_", "2 text_hash", "3 passes", "4 component", "'x' kept", "5 position", "6 length")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    at, said = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, at, str(tmp_path))
+        got, before = out.collect(), [(r.doc_id, r.text) for r in at.collect()]
+        if name != "best-fit packing":
+            assert out.columns == docs.columns and all(r.doc_id_ == 1 and r.length == 6 for r in got)
+            said = Counter((r.doc_id, r.text) for r in got)
+        if name == "quality rules":
+            words = {t: brute_statistics(t) for _, t in before}
+            assert said == Counter((i, t) for i, t in before if words[t][0] >= 50 and 100 * words[t][4] <= 50 * words[t][0])
+        elif name == "line dedup":
+            want = brute_lines(before)
+            assert Counter((r.doc_id, text_digest(r.text)) for r in got) == Counter((k[0], k[3]) for k in want.elements())
+            assert sum(k[2] for k in want.elements()) >= 7 and all(r.n_chars == len(r.text) for r in got)
+        elif name == "minhash near-dedup":
+            assert set(said) <= set(before) and len({t for _, t in said}) == len(said)
+            assert sum(t == rows[-13][1] for _, t in said.elements()) <= 3 and not any(i == 2001 for i, _ in said)
+            kept = Counter((r.doc_id, r.h1) for r in minhash.near_groups(at).collect() if r.kept)
+            assert sum(said.values()) == sum(kept.values())
+        elif name == "mixing":
+            assert {i for i, _ in said} <= {i for i, _ in before} and sum(said.values()) == sum(r.passes for r in mixing.mix(at, whole=True).collect())
+        else:
+            ids = ids_of("byte_bpe_50k.json", [t for _, t in before], 0)
+            assert sum(r.length for r in got) == sum(map(len, ids))
+            check_packing([(r.sequence_id, r.offset, r.length) for r in got], 2048)
+            break
+        at = spark.createDataFrame(got, out.schema)
+    assert sum(r.length for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sum(map(len, ids))
+
+
+def text_digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_empty_documents(spark, tmp_path):
     d = tables(spark, tmp_path, empty=True)
     assert corpus_pipeline.run(spark, d).count() == 0
