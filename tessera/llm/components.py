@@ -4,40 +4,83 @@ Large-star and small-star steps in turn (Kiveris et al., 2014): every node links
 its larger neighbours, then its smaller ones and itself, to the least of its
 neighbourhood, until no link changes. The links become stars whose centres are
 the components' least nodes. A step is one aggregation (with partial sums, so a
-node with very many links is no hot key) and one join (whose skew Spark splits);
-each round is cut by a scratch table, and the one before it is deleted.
+node with very many links is no hot key) and one join (whose skew Spark splits).
+After each round every partition makes stars of its own links, in arrays of the
+partition's size, so a few rounds do where links mostly meet in one partition. Each
+round is cut by a scratch table, and the one before it is deleted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, save
 
+#: Links that a partition makes stars of at a time.
+LINKS = 2_000_000
+
+
+def least_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Each of n nodes' least node of its component, for the links (a, b)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while not ((again := new[new]) == new).all():
+            new = again
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = least_of(at[: len(a)], at[len(a) :], len(nodes))
+    far = label != np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], names=["a", "b"])
+
+
+def _own_stars(at_once: int):
+    """The links of a partition as stars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+            n += batch.num_rows
+            if n >= at_once:
+                yield _stars(*map(np.concatenate, zip(*held)))
+                held, n = [], 0
+        if n:
+            yield _stars(*map(np.concatenate, zip(*held)))
+
+    return run
+
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One step on links (a, b) with a > b."""
-    if large:
-        around = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    else:
-        around = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+def _round(links: DataFrame) -> DataFrame:
+    """A large-star and a small-star step on links (a, b) with a > b."""
+    around = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = around.join(least, "u")
-    if large:
-        out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
-    else:
-        out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.filter(F.col("a") != F.col("b")).distinct()
+    large = around.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    return small.filter(F.col("a") != F.col("b")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, at_once: int = LINKS) -> DataFrame:
     """(node, component) for every node of the links (a, b): the component is its least node."""
-    now = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct()
-    now = save(now, "links")
+    now = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b"))
+    now = save(now.mapInArrow(_own_stars(at_once), "a long, b long"), "links")
     before, state = None, _state(now)
     while state != before and state[0]:
-        new = save(_star(_star(now, True), False), "links")
+        new = save(_round(now).mapInArrow(_own_stars(at_once), "a long, b long"), "links")
         drop(now)
         now, before, state = new, state, _state(new)
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

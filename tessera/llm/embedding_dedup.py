@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, save, semi_join
-from .components import components
+from .components import components, least_of
 
 
 #: Bytes of vectors that a block holds at most.
@@ -131,22 +131,6 @@ def _homes(centres, reach: float):
     return run
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Each of n nodes' least node of its component."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        while (again := new[new]).tolist() != new.tolist():
-            new = again
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _compare(threshold: float):
     """All pairs between two blocks of a cell (or within one): links counted, and a spanning forest."""
 
@@ -181,7 +165,7 @@ def _compare(threshold: float):
             np.add.at(count, i, times[j])
             np.add.at(count, j, times[i])
             if len(i):
-                label = _forest(np.concatenate([i, np.arange(len(label))]), np.concatenate([j, label]), len(label))
+                label = least_of(np.concatenate([i, np.arange(len(label))]), np.concatenate([j, label]), len(label))
         linked = label != np.arange(len(label))
         kind = np.concatenate([np.zeros(int((count > 0).sum()), np.int32), np.ones(int(linked.sum()), np.int32)])
         return pa.table({"kind": kind, "a": np.concatenate([point[count > 0], point[linked]]), "b": np.concatenate([count[count > 0], point[label[linked]]])}, schema=pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]))

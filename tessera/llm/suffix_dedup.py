@@ -51,6 +51,8 @@ from .common import mix, public_id, save, slices, text_bytes
 LENGTH, SEED, SHALLOW = 50, 26, 24
 #: Bits of a minimiser's hash beyond those that number all minimisers, and the least of all bits; the sieve may pass too much.
 SPARE, LEAST_BITS = 10, 40
+#: Copies of a row that names a text of several documents.
+SALT = 16
 _MOST = np.uint64(2**64 - 1)
 _FACTORS = mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 _ASIDE, _KNOWN, _MARKS = 0, 1, 2
@@ -443,7 +445,10 @@ def _apply(df: DataFrame, id_col: str, text_col: str, last, schema: str) -> Data
     # texts that another document has as well: a few bytes of each document are compared, not its text
     ids = docs.select("block", "doc_id", "h1", F.xxhash64(F.lit(1), "text").alias("h2"))
     least = ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    aside = ids.join(least, ["h1", "h2"]).filter("doc_id > least").select("block", F.lit(_ASIDE).alias("kind"), F.lit(0).alias("bucket"), "doc_id", "h1", F.lit(b"").alias("payload")).distinct()
+    # copies of the few rows that name a text, so that one which a third of all documents have is met by several tasks
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    ids = ids.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
+    aside = ids.join(least, ["h1", "h2", "salt"]).filter("doc_id > least").select("block", F.lit(_ASIDE).alias("kind"), F.lit(0).alias("bucket"), "doc_id", "h1", F.lit(b"").alias("payload")).distinct()
     aside = save(aside, "copies")
 
     def at_home(more: DataFrame, step, out: str) -> DataFrame:

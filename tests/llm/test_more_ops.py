@@ -257,10 +257,11 @@ def brute_groups(n, links):
     return [root(x) for x in range(n)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [2_000_000, 7])
+def test_components(spark, at_once):
     rng = random.Random(1)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(500, 560)] + [(600, i) for i in range(601, 700)] + [(3, 3)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long").repartition(5), at_once).collect()}
     want = brute_groups(700, links)
     assert all(want[k] == v for k, v in got.items())
     assert set(got) == {x for a, b in links for x in (a, b) if a != b}
