@@ -103,11 +103,15 @@ class Encoder:
         """Where units are kept: words of letters, and others; each list without repeats."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        known = self.known
-        self._learn_words([p for p in words if p not in known])
-        self._learn_singly([p for p in others if p not in known])
-        get = known.__getitem__
-        return np.fromiter(map(get, words), np.int64, len(words)), np.fromiter(map(get, others), np.int64, len(others))
+        return self._place(words, self._learn_words), self._place(others, self._learn_singly)
+
+    def _place(self, units: list[str], learn) -> np.ndarray:
+        at = np.fromiter(map(self.known.get, units, itertools.repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(at < 0)
+        first = len(self.known)
+        learn([units[i] for i in new.tolist()])
+        at[new] = first + np.arange(len(new))  # what is learned is kept in its order
+        return at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's ids begin (one entry more)."""
@@ -156,20 +160,20 @@ class Encoder:
             plain = np.asarray(pc.match_substring_regex(bare, _LETTERS).to_numpy(zero_copy_only=False), bool)
             stems = bare.filter(pa.array(plain))
             stems = (stems if self.space_leads else pc.utf8_lower(stems)).dictionary_encode()
-            stem_texts = [space + w for w in stems.dictionary.to_pylist()] if space else stems.dictionary.to_pylist()
-            size, cut = pc.utf8_length(own).to_numpy(), pc.utf8_length(bare).to_numpy()
-            tailed = plain & (size > cut) if len(own) else plain
-            tails = [x[n:] for x, n in zip(own.filter(pa.array(tailed)).to_pylist(), cut[tailed].tolist())]
+            stem_texts = _listed(stems.dictionary, space)
+            tailed = plain & (pc.binary_length(own).to_numpy() > pc.binary_length(bare).to_numpy()) if len(own) else plain
+            tails = pc.extract_regex(own.filter(pa.array(tailed)), f"(?P<tail>[{_TAIL}]+)$").field("tail").dictionary_encode()
+            tail_texts = tails.dictionary.to_pylist()
             rest = [space + x for x in own.filter(pa.array(~plain)).to_pylist()]
-            others += [tails, rest] if before is not None else [tails, rest, stem_texts]
+            others += [tail_texts, rest] if before is not None else [tail_texts, rest, stem_texts]
             words += stem_texts if before is not None else []
-            todo.append((which, before, coded, plain, stems, stem_texts, tailed, tails, rest))
+            todo.append((which, before, coded, plain, stems, stem_texts, tailed, tails, tail_texts, rest))
         unique = list(dict.fromkeys(itertools.chain.from_iterable(others)))
         # nothing is forgotten between these look-ups
         word_at, other_at = self._places(words, unique)
         where = dict(zip(unique, other_at.tolist()))
         out = np.full((len(pieces), 2), -1, np.int64)
-        for which, before, coded, plain, stems, stem_texts, tailed, tails, rest in todo:
+        for which, before, coded, plain, stems, stem_texts, tailed, tails, tail_texts, rest in todo:
             if not len(coded):
                 continue
             unit = np.full((len(plain), 2), -1, np.int64)
@@ -177,7 +181,8 @@ class Encoder:
             if len(stem_texts):
                 unit[plain, 0] = at[stems.indices.to_numpy()]
             unit[~plain, 0] = [where[x] for x in rest]
-            unit[tailed, 1] = [where[x] for x in tails]
+            if len(tail_texts):
+                unit[tailed, 1] = np.array([where[x] for x in tail_texts], np.int64)[tails.indices.to_numpy()]
             out[which] = unit[coded.indices.to_numpy()]
         return out
 
@@ -189,6 +194,14 @@ class Encoder:
         return self.ids[np.repeat(shift, length) + np.arange(n)]
 
 
+def _listed(words: pa.Array, before: str) -> list[str]:
+    """Words of letters as a list, each with ``before`` in front of it: one text, cut."""
+    if not len(words):
+        return []
+    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n" + before)
+    return (before + lines[0].as_py()).split("\n")
+
+
 def _room(a: np.ndarray, n: int) -> np.ndarray:
     return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
 
