@@ -1,4 +1,4 @@
-"""Getting this package to the Python workers of a session."""
+"""Getting this package to the Python workers of a session, and the folder they share."""
 
 from __future__ import annotations
 
@@ -35,6 +35,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one ``spark.checkpoint.dir`` names.
+
+    Where that is unset, a temporary folder of this machine, for a local master only.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
 def local_session(cpus: str = "*") -> SparkSession:
     """The active session, or a local one for the command lines."""
     return (
