@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -22,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Stands for a null id inside an operator.
 NO_ID = -(2**63)
 #: Bytes of text that one numpy pass works on (a longer text is a slice of its own).
@@ -39,18 +40,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for scratch tables.
-
-    It is ``spark.checkpoint.dir``; where that is unset, a temporary folder of
-    this machine, which is right only for a local master.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    """The shared folder for scratch tables."""
+    return shared_folder(spark)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
