@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import documents
 
 #: Bytes of text whose hashes one bucket gets, and the least and the most that one block holds.
-BUCKET_BYTES, LEAST_BLOCK, MOST_BLOCK = 4 << 20, 8 << 20, 16 << 20
+BUCKET_BYTES, LEAST_BLOCK, MOST_BLOCK = 4 << 20, 6 << 20, 16 << 20
 #: Buckets that a block writes rows for, at most.
 MOST_ROWS = 4096
 
@@ -87,15 +87,20 @@ def grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(h)
     bits = np.uint64(max(1, n.bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
-    x = (h & ~low) | np.arange(n, dtype=np.uint64)
+    x = h & ~low
+    x |= np.arange(n, dtype=np.uint64)
     x.sort()
-    order = (x & low).astype(np.int64)
+    x &= low
+    order = x.view(np.int64)
     s = h[order]
+    step = s[1:] ^ s[:-1]
     new = np.ones(n, bool)
-    new[1:] = s[1:] != s[:-1]
-    top = s >> bits
-    mixed = new[1:] & (top[1:] == top[:-1])
+    np.not_equal(step, 0, out=new[1:])
+    step >>= bits
+    mixed = new[1:] & (step == 0)
+    del step
     if mixed.any():
+        top = s >> bits
         group = np.cumsum(np.append(True, top[1:] != top[:-1])) - 1
         wrong = np.zeros(int(group[-1]) + 1, bool)
         wrong[group[1:][mixed]] = True

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import REQUEST, grouped, in_blocks, request, totals, totals_of
-from .common import Words, public_id, save, slices
+from .common import Words, public_id, save, slices, tidy
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("words", pa.int64()), ("known", pa.float64()), ("unigrams", pa.int64())])
 #: Bits of a hash beyond those that number all n-grams, and the least of all bits.
@@ -50,21 +50,26 @@ class _Grams:
     """
 
     def __init__(self, docs: pa.Table, order: int, drop: int):
-        by_order: list[list[tuple]] = [[] for _ in range(order)]
+        by_order: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(order)]
         counts, words, rows = [], 0, 0
         keep = ~((np.uint64(1) << np.uint64(drop)) - np.uint64(1))
         for part in slices(docs.combine_chunks().to_batches()):
             w = Words(part.column("text"))
             for o in range(1, order + 1):
                 h, at = w.grams(o)
-                by_order[o - 1].append(((h ^ np.uint64(o * 0x9E3779B97F4A7C15 & (2**64 - 1))) & keep, (w.text_of[at] + rows).astype(np.int32), at + (o - 1 + words)))
+                by_order[o - 1].append(((h ^ np.uint64(o * 0x9E3779B97F4A7C15 & (2**64 - 1))) & keep, (w.text_of[at] + rows).astype(np.int32), (at + (o - 1 + words)).astype(np.int32)))
             counts.append(w.counts)
             words, rows = words + len(w), rows + len(w.counts)
         self.words, self.counts = words, np.concatenate(counts) if counts else np.zeros(0, np.int64)
         self.first = np.cumsum([0, *(sum(len(p[0]) for p in own) for own in by_order)])
         flat = [x for own in by_order for x in own]
-        kinds = (np.uint64, np.int32, np.int64)
-        self.h, self.of, self.end = (np.concatenate([x[i] for x in flat]) if flat else np.zeros(0, kind) for i, kind in enumerate(kinds))
+        del by_order
+        self.h, self.of, self.end = (np.zeros(int(self.first[-1]), kind) for kind in (np.uint64, np.int32, np.int32))
+        at = 0
+        for k, x in enumerate(flat):
+            z = at + len(x[0])
+            self.h[at:z], self.of[at:z], self.end[at:z] = x
+            at, flat[k] = z, ()  # the pieces go as the whole grows
         self.sorted, self.new = grouped(self.h)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
@@ -77,10 +82,12 @@ class _Grams:
         of = self.of[self.sorted]
         own = self.new.copy()
         own[1:] |= of[1:] != of[:-1]
-        begin = np.flatnonzero(own)
-        size = np.diff(np.append(begin, len(of)))
+        size = np.diff(np.append(np.flatnonzero(own), len(of)))
+        count = np.diff(np.append(np.flatnonzero(self.new), len(of)))
+        rest = np.repeat(total.astype(np.int64), count)
+        rest -= np.repeat(size, size)
         out = np.empty(len(of), np.int64)
-        out[self.sorted] = total.astype(np.int64)[np.cumsum(self.new) - 1] - np.repeat(size, size)
+        out[self.sorted] = rest
         return out
 
 
@@ -97,6 +104,7 @@ def _score(order: int, backoff: float, drop: int):
             return _SCORED.empty_table()
         grams = _Grams(docs, order, drop)
         elsewhere, n = grams.elsewhere(totals_of(replies)), grams.words
+        del grams.h, grams.of, grams.sorted, grams.new
         seen = np.full((order + 1, n), -1, np.int64)  # of the n-gram that ends at a word: count elsewhere, -1 if there is none
         for o in range(1, order + 1):
             own = slice(grams.first[o - 1], grams.first[o])
@@ -113,6 +121,7 @@ def _score(order: int, backoff: float, drop: int):
         value[rest] = np.log(np.maximum(seen[1, rest], 0.5)) + steps[rest] * math.log(backoff)
         rows = len(grams.counts)
         of = np.repeat(np.arange(rows), grams.counts)
+        tidy()
         known, unigrams = np.bincount(of, value, rows), np.bincount(of, ~done, rows).astype(np.int64)
         return pa.table([docs["doc_id"].combine_chunks(), pa.array(grams.counts.astype(np.int64)), pa.array(known), pa.array(unigrams)], schema=_SCORED)
 
