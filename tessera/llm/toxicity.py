@@ -18,7 +18,7 @@ bytes, packed in an integer, so nothing collides) and one among contexts.
 The mean alone does not do where a few words of a long document are toxic: on
 the test table's held-out rows it finds 6 of 144 at 5 false ones of 1200, and with
 contexts that cross words 1 to 4 of 144 (the best stretch of up to 12 words: 68 at
-most); with the other two statistics it is 131 at 4.
+most); with the other two statistics it finds 126 at 3.
 
 Bounds: at most ``max_docs`` labelled documents of each class are learned from,
 those with the smallest hash of their id (ties: the smallest id), with all of their
