@@ -4,7 +4,10 @@ Large-star and small-star steps in turn (Kiveris et al., 2014): every node links
 its larger neighbours, then its smaller ones and itself, to the least of its
 neighbourhood, until no link changes. The links become stars whose centres are
 the components' least nodes. A step is one aggregation (with partial sums, so a
-node with very many links is no hot key) and one join (whose skew Spark splits).
+node with very many links is no hot key) and one join. Only what a step changes is
+joined: in the first one nodes between smaller and larger ones, in the second one
+those with several smaller ones, neither of which a star has; there are ``SALT``
+copies of each, so that a node with very many links is met by several tasks.
 After each round every partition makes stars of its own links, in arrays of the
 partition's size, so a few rounds do where links mostly meet in one partition. Each
 round is cut by a scratch table, and the one before it is deleted.
@@ -23,6 +26,8 @@ from .common import drop, save
 
 #: Links that a partition makes stars of at a time.
 LINKS = 2_000_000
+#: Copies of a row that a node's links are joined with.
+SALT = 16
 
 
 def least_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -64,14 +69,23 @@ def _own_stars(at_once: int):
     return run
 
 
+def _copied(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int"))
+
+
 def _round(links: DataFrame) -> DataFrame:
     """A large-star and a small-star step on links (a, b) with a > b."""
-    around = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    large = around.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return small.filter(F.col("a") != F.col("b")).distinct()
+    around = links.toDF("u", "v").union(links.select("b", "a"))
+    between = around.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")).filter("m < u and u < most").select("u", "m")
+    large = _salted(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).join(_copied(between), ["u", "salt"], "left")
+    large = large.select("v", F.coalesce("m", "u")).toDF("u", "v")
+    least = large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
+    small = _salted(large).join(_copied(least.filter("m < most").select("u", "m")), ["u", "salt"]).select("v", "m")
+    return small.union(least.select("u", "m")).toDF("a", "b").filter(F.col("a") != F.col("b")).distinct()
 
 
 def components(links: DataFrame, at_once: int = LINKS) -> DataFrame:
