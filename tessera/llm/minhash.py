@@ -456,7 +456,9 @@ def near_groups(df: DataFrame, similarity: float = 0.8, k: int = 3, sketches: in
     rows = placed.agg(F.sum("blocks")).collect()[0][0] or 0
     buckets = max(partitions(df.sparkSession), rows // 20_000)
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("sketch", "i", "j"), F.lit(buckets)).cast("int")).join(texts.join(homes, "node"), "node").select("bucket", "sketch", "i", "j", "own", "node", "of", "hub", "home", "words", "bag")
+    # the pairs of blocks of a group go to one bucket after the other
+    bucket = F.pmod(F.pmod(F.xxhash64("sketch"), F.lit(buckets)) + F.col("i").cast("long") * F.col("blocks") + F.col("j"), F.lit(buckets))
+    dealt = dealt.withColumn("bucket", bucket.cast("int")).join(texts.join(homes, "node"), "node").select("bucket", "sketch", "i", "j", "own", "node", "of", "hub", "home", "words", "bag")
     second = save(dealt.groupBy("bucket").applyInArrow(_open(similarity), "left long, right long, pairs binary"), "pairs")
     # links between the components there are
     more = _home_links(docs, nodes, second, known, similarity)
