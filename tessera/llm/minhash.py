@@ -16,7 +16,11 @@ longer text, bit by bit in parallel (Myers 1999, Hyyro 2003). Verified links mak
 components.
 
 Round two works on blocks, and its rows are texts, not pairs. Groups are screened
-in pairs of blocks of ``BLOCK`` texts. A text's home is a block of ``HOME_TEXTS``
+in pairs of blocks of ``BLOCK`` texts; a group of more than ``BLOCKS`` of them has
+larger blocks instead of more, so a text goes to ``BLOCKS`` places at most and the
+rows grow in proportion to the group (until blocks hold ``BLOCK_TEXTS``, which bounds
+a task's memory). In a pair of blocks, sorted by length, only texts of lengths that
+can be similar meet. A text's home is a block of ``HOME_TEXTS``
 at most of its largest group; what the screen passes is packed by pairs of
 homes, each text goes once to a pair of homes that needs it, and there pairs are
 aligned until their texts are in one component. So a group's comparisons, which
@@ -65,8 +69,12 @@ from .components import components
 _SKETCHED = "doc_id long, h1 long, h2 long, words long, bag binary, sketches array<long>"
 _PACKED = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("pairs", pa.binary())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-#: Classes of words that a bag counts (to 255 each; less is still a bound), and texts of a block.
-BAG, BLOCK = 256, 1000
+#: Classes of words that a bag counts (to 255 each; less is still a bound).
+BAG = 256
+#: Texts of a block, blocks of a group whose blocks are larger than that, and texts of such a block, at most.
+BLOCK, BLOCKS, BLOCK_TEXTS = 4000, 16, 100_000
+#: Pairs whose bags are compared at once.
+SCREENED = 1 << 18
 #: Texts and words that one task compares with a hub, at most (or a single text), and those at home in one place.
 PIECE_TEXTS, PIECE_WORDS, HOME_TEXTS, HOME_WORDS = 100, 500_000, 1000, 1_000_000
 #: Columns of an alignment whose words are looked up together, and copies of the row that names a component.
@@ -183,14 +191,19 @@ def _open(similarity: float):
             same = i[at[0]] == j[at[0]]
             left = at if same else at[own[at] == i[at[0]]]
             right = at if same else at[own[at] == j[at[0]]]
-            for low in range(0, len(left), 256):
-                part = left[low : low + 256]
-                a, b = words[part][:, None], words[right][None, :]
-                ok = (group[part][:, None] != group[right][None, :]) & (np.minimum(a, b) >= np.maximum(a, b) * similarity - 1e-6)
+            left, right = (x[np.argsort(words[x], kind="stable")] for x in (left, right))
+            length, step = words[right], max(1, SCREENED // max(len(right), 1))
+            for low in range(0, len(left), step):
+                part = left[low : low + step]
+                # the lengths that the shortest and the longest of the part can be similar to
+                begin, end = np.searchsorted(length, [words[part[0]] * similarity - 1, words[part[-1]] / similarity + 1])
+                other = right[begin:end]
+                a, b = words[part][:, None], words[other][None, :]
+                ok = (group[part][:, None] != group[other][None, :]) & (np.minimum(a, b) >= np.maximum(a, b) * similarity - 1e-6)
                 if same:
-                    ok &= node[part][:, None] < node[right][None, :]
+                    ok &= node[part][:, None] < node[other][None, :]
                 x, y = np.nonzero(ok)
-                x, y = part[x], right[y]
+                x, y = part[x], other[y]
                 near = _may_be_near(words[x], bags[x], words[y], bags[y], similarity) if len(x) else np.zeros(0, bool)
                 x, y = x[near], y[near]
                 swap = (home[x] > home[y]) | ((home[x] == home[y]) & (node[x] > node[y]))
@@ -448,7 +461,7 @@ def near_groups(df: DataFrame, similarity: float = 0.8, k: int = 3, sketches: in
     # groups of more than one component: all of their pairs between components
     placed = members.join(known, "node", "left").withColumn("of", F.coalesce("component", "node"))
     mixed = placed.groupBy("sketch").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high").select("sketch")
-    placed = placed.join(mixed, "sketch").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    placed = placed.join(mixed, "sketch").withColumn("blocks", F.least(F.ceil(F.col("n") / BLOCK), F.greatest(F.lit(BLOCKS), F.ceil(F.col("n") / BLOCK_TEXTS))).cast("int"))
     placed = save(placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("sketch", "node", "of", "n", "hub", "all_words", "blocks", "own"), "open")
     homes = placed.groupBy("node").agg(F.max(F.struct("n", "sketch", "all_words")).alias("x"))
     place = F.pmod(F.xxhash64("node"), F.ceil(F.greatest(F.col("x.n") / HOME_TEXTS, F.col("x.all_words") / HOME_WORDS)))

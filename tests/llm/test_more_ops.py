@@ -1,5 +1,6 @@
 import math
 import random
+import tempfile
 import zlib
 from collections import Counter, defaultdict
 
@@ -394,6 +395,33 @@ def test_near_groups_of_a_common_passage(spark, monkeypatch, block):
     assert [i for i in shared if got[i] != got[1000 + i]] == []
 
 
+def test_rows_of_a_large_group_grow_in_proportion(spark, monkeypatch, tmp_path):
+    # texts that share a passage and are not similar: each goes to a bounded number of places
+    rng = random.Random(33)
+    passage, screen, sent = sentence(rng, 150), minhash._open, {}
+    texts = [passage + " " + sentence(rng, 60) for _ in range(320)]
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    for n in (160, 320):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+
+        def counted(similarity, folder=str(folder)):
+            run = screen(similarity)
+
+            def rows(table):
+                with tempfile.NamedTemporaryFile("w", dir=folder, delete=False) as f:
+                    f.write(str(table.num_rows))
+                return run(table)
+
+            return rows
+
+        monkeypatch.setattr(minhash, "_open", counted)
+        got = minhash.near_groups(frame(spark, list(enumerate(texts[:n]))), k=5, sketches=2).collect()
+        assert all(r.doc_id == r.class_id for r in got) and len(got) == n
+        sent[n] = sum(int(f.read_text()) for f in folder.iterdir())
+    assert 1000 < sent[160] and sent[320] < 2.6 * sent[160]
+
+
 @pytest.mark.parametrize("words, edits", [(200, 40), (200, 30), (200, 20), (60, 12), (45, 9), (20, 4), (9, 1), (5, 1)])
 def test_near_groups_finds_scattered_edits(spark, words, edits):
     # similarity 0.80, 0.85, 0.90 of long texts, and short texts of 0.8 or a little more
