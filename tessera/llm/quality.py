@@ -2,16 +2,18 @@
 
 Method. Every document gets the statistics that quality rules are made of. Two
 rules reject at once (too few words; most words in repeated 3-word windows). For
-the rest, an isolation forest is grown on the statistics of a bounded sample of
-labelled good rows: trees of random splits on random subsamples; a document that
-ends on short paths is unlike the good ones. The verdict's threshold on the mean
-path length is calibrated on the labelled rows, each scored by trees that have
-not seen it: the one that tells good from bad best among those that keep at least
-``keep_good`` of the good. The forest (at most ``trees`` x 2 x ``subsample``
-nodes) goes to every task.
-
-Bounds: at most ``max_rows`` labelled ids are used for growing and calibrating,
-those with the smallest hash (ties: the smallest id).
+the rest, an isolation forest is grown on the statistics of the labelled good rows:
+trees of random splits, each on a random subsample drawn from all of them; a
+document that ends on short paths is unlike the good ones. The verdict's threshold
+on the mean path length is calibrated on all labelled rows, each scored by trees
+that have not seen it: the one that tells good from bad best among those that keep
+at least ``keep_good`` of the good. The forest (at most ``trees`` x 2 x
+``subsample`` nodes) goes to every task.
+
+All labelled rows are learned from, on the executors: they are numbered in ``BUCKETS``
+by hash, so that draws and sums do not depend on partitions; the driver fetches
+the rows that the trees have drawn (at most ``trees`` x ``subsample``), a row for each
+bucket and the best threshold of each range of scores.
 
 Defined cases: a null or empty text has no words and fails the first rule; a text
 is counted whole, in memory in proportion to it; labels repeated for an id count
@@ -28,11 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, documents, per_text, public_id, save, slices, small
+from .common import Words, documents, drop, per_text, public_id, save, slices
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -111,23 +113,27 @@ def _mean_path(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
+def draws(rows: int, trees: int, subsample: int, seed: int) -> list[np.ndarray]:
+    """The numbers of the rows that each tree is grown on."""
+    rng = np.random.default_rng([seed, 1])
+    return [rng.choice(rows, min(subsample, max(2, rows // 2), rows), replace=False) for _ in range(trees)]
+
+
 class Forest:
     """Isolation trees as arrays: ``feature`` -1 is a leaf; children of node i are ``child[i]`` and the next one.
 
     The rows that grow the trees are good ones, so a split is drawn from their
     range widened by ``spread`` (twice the statistic's deviation over good and
     bad rows): what lies outside the good rows' range ends early in an empty leaf,
-    also where all good rows agree.
+    also where all good rows agree. ``taken``: what ``draws`` gave, as places in ``rows``.
     """
 
-    def __init__(self, rows: np.ndarray, spread: np.ndarray, trees: int, subsample: int, seed: int):
+    def __init__(self, rows: np.ndarray, spread: np.ndarray, trees: int, subsample: int, seed: int, taken: list[np.ndarray] | None = None):
         rng = np.random.default_rng(seed)
-        self.spread, self.taken = spread, []
-        self.depth = max(1, math.ceil(math.log2(max(2, min(subsample, len(rows) // 2)))))
+        self.spread, self.taken = spread, draws(len(rows), trees, subsample, seed) if taken is None else taken
+        self.depth = math.ceil(math.log2(max(2, *map(len, self.taken))))
         self.feature, self.split, self.child, self.length, self.roots = [], [], [], [], []
-        for _ in range(trees):
-            take = rng.choice(len(rows), min(subsample, max(2, len(rows) // 2), len(rows)), replace=False)
-            self.taken.append(take)
+        for take in self.taken:
             self.roots.append(self._node())
             self._grow(self.roots[-1], rows[take], 0, rng)
         for name in ("feature", "child", "roots"):
@@ -183,40 +189,102 @@ class Forest:
         return 2.0 ** (-(total / np.maximum(trees, 1)) / max(_mean_path(2**self.depth), 1e-9))
 
 
-def calibrate(score: np.ndarray, good: np.ndarray, keep_good: float) -> float:
-    """The score from which on a row is rejected."""
-    if not len(score) or good.all() or not good.any():
-        return math.inf
-    cuts = np.unique(score)
-    kept = np.searchsorted(np.sort(score[good]), cuts, "left") / good.sum()
-    caught = 1 - np.searchsorted(np.sort(score[~good]), cuts, "left") / (~good).sum()
-    gain = np.where(kept >= keep_good, kept + caught, -1)
-    return float(cuts[gain.argmax()]) if gain.max() > 1 else math.inf
+#: Groups of labelled rows, by hash.
+BUCKETS = 256
+
+
+def marks(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """(doc_id, good) of all labelled ids."""
+    rows = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("good")).dropna()
+    return rows.groupBy("doc_id").agg((F.min("good") >= 1).alias("good"))
+
+
+def _summary(table: pa.Table) -> pa.Table:
+    """A bucket's rows, good rows, and the mean and the sum of squares around it of each feature."""
+    table = table.sort_by([(c, "ascending") for c in ("doc_id", *COUNTS)])
+    x = features({c: table[c].to_numpy() for c in COUNTS})
+    mean = x.mean(axis=0)
+    rows = {"bucket": table["bucket"][0].as_py(), "n": len(x), "n_good": int(table["good"].to_numpy().sum()), "mean": mean.tolist(), "squares": ((x - mean) ** 2).sum(axis=0).tolist()}
+    return pa.Table.from_pylist([rows], schema=pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("n_good", pa.int64()), ("mean", pa.list_(pa.float64())), ("squares", pa.list_(pa.float64()))]))
+
 
+def _deviation(buckets: list[dict]) -> np.ndarray:
+    """Each feature's deviation over all buckets (Chan et al.)."""
+    n, mean, squares = 0, 0.0, 0.0
+    for b in buckets:
+        off, both = np.array(b["mean"]) - mean, n + b["n"]
+        squares = squares + np.array(b["squares"]) + off**2 * (n * b["n"] / both)
+        n, mean = both, mean + off * (b["n"] / both)
+    return np.sqrt(squares / n)
 
-#: Labelled ids that are learned from, at most.
-MAX_ROWS = 20_000
 
+def _scored(forest: Forest):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _gathered(batches):
+            if b.num_rows:
+                score = forest.score(features({c: b.column(c).to_numpy() for c in COUNTS}))
+                yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("place"), b.column("good"), pa.array(score)], names=["bucket", "place", "good", "score"])
+
+    return run
 
-def sample_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = MAX_ROWS) -> DataFrame:
-    """(doc_id, good) of the labelled ids that are learned from: at most ``max_rows``, to be broadcast if that is few."""
-    marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("good")).dropna()
-    return small(marks.groupBy("doc_id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), max_rows)
+
+def _best_cut(before: dict[int, tuple[int, int]], n_good: int, n_bad: int, keep_good: float):
+    """The best threshold of a range of scores: of (part, score, good, bad), with the counts of the ranges before."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("score")
+        good, bad = (table[c].to_numpy() for c in ("good", "bad"))
+        good_before, bad_before = before[table["part"][0].as_py()]
+        kept = (good_before + np.cumsum(good) - good) / n_good
+        caught = 1 - (bad_before + np.cumsum(bad) - bad) / n_bad
+        gain = np.where(kept >= keep_good, kept + caught, -1)
+        best = int(gain.argmax())
+        return pa.table({"gain": pa.array([float(gain[best])]), "score": pa.array([table["score"][best].as_py()])})
+
+    return run
 
 
-def fit(stats: DataFrame, sample: DataFrame, trees: int = 400, subsample: int = 256, keep_good: float = 0.99, seed: int = 7) -> tuple[Forest | None, float]:
-    """Grow the forest and find its threshold from ``rule_statistics`` and ``sample_labels``."""
-    rows = stats.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).join(sample, "doc_id").toArrow()
-    rows = rows.sort_by([(c, "ascending") for c in ("doc_id", *COUNTS)])
-    x = features({c: rows[c].to_numpy() for c in COUNTS})
-    good = rows["good"].to_numpy() >= 1
-    if not good.any():
+def calibrate(scores: DataFrame, keep_good: float) -> float:
+    """The score from which on a row is rejected, from all rows of (good, score)."""
+    counts = save(scores.groupBy("score").agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")), "scores")
+    cuts = save(counts.repartitionByRange("score").withColumn("part", F.spark_partition_id()), "cuts")
+    before, n_good, n_bad = {}, 0, 0
+    for r in sorted(cuts.groupBy("part").agg(F.sum("good"), F.sum("bad")).collect()):
+        before[r[0]] = n_good, n_bad
+        n_good, n_bad = n_good + r[1], n_bad + r[2]
+    best = (1, math.inf)
+    if n_good and n_bad:
+        found = cuts.groupBy("part").applyInArrow(_best_cut(before, n_good, n_bad, keep_good), "gain double, score double").collect()
+        best = min(((r.gain, r.score) for r in found), key=lambda x: (-x[0], x[1]))
+    drop(counts)
+    drop(cuts)
+    return best[1] if best[0] > 1 else math.inf
+
+
+def fit(stats: DataFrame, labelled: DataFrame, trees: int = 400, subsample: int = 256, keep_good: float = 0.99, seed: int = 7) -> tuple[Forest | None, float]:
+    """Grow the forest and find its threshold from ``rule_statistics`` and ``marks``."""
+    spark = stats.sparkSession
+    rows = stats.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).join(labelled, "doc_id")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", *COUNTS), F.lit(BUCKETS)).cast("int"))
+    rows = save(rows.withColumn("place", F.row_number().over(Window.partitionBy("bucket", "good").orderBy("doc_id", *COUNTS)) - 1), "labelled")
+    buckets = rows.groupBy("bucket").applyInArrow(_summary, "bucket int, n long, n_good long, mean array<double>, squares array<double>").toArrow().sort_by("bucket").to_pylist()
+    first = np.cumsum([0, *(b["n_good"] for b in buckets)])
+    if not first[-1]:
+        drop(rows)
         return None, math.inf
-    forest = Forest(x[good], 2 * x.std(axis=0), trees, subsample, seed)
-    score = np.empty(len(good))
-    score[good], score[~good] = forest.score(x[good], grew=True), forest.score(x[~good])
+    taken = draws(int(first[-1]), trees, subsample, seed)
+    wanted = np.unique(np.concatenate(taken))
+    of = np.searchsorted(first, wanted, "right") - 1
+    keys = {"bucket": pa.array(np.array([b["bucket"] for b in buckets], np.int32)[of]), "place": pa.array((wanted - first[of]).astype(np.int32))}
+    drawn = rows.filter("good").join(F.broadcast(spark.createDataFrame(pa.table(keys))), ["bucket", "place"]).toArrow().sort_by([("bucket", "ascending"), ("place", "ascending")])
+    x = features({c: drawn[c].to_numpy() for c in COUNTS})
+    forest = Forest(x, 2 * _deviation(buckets), trees, subsample, seed, [np.searchsorted(wanted, t) for t in taken])
+    unseen = spark.createDataFrame(pa.table({**keys, "good": pa.array(np.ones(len(wanted), bool)), "unseen": pa.array(forest.score(x, grew=True))}))
     forest.taken = []
-    return forest, calibrate(score, good, keep_good)
+    scores = rows.mapInArrow(_scored(forest), "bucket int, place int, good boolean, score double").join(F.broadcast(unseen), ["bucket", "place", "good"], "left")
+    threshold = calibrate(scores.select("good", F.coalesce("unseen", "score").alias("score")), keep_good)
+    drop(rows)
+    return forest, threshold
 
 
 #: Rows that the forest scores at once.
@@ -248,19 +316,19 @@ def _verdicts(forest: Forest | None, threshold: float):
     return run
 
 
-def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, **options) -> DataFrame:
+def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, anomaly)."""
     stats = save(rule_statistics(df, id_col, text_col), "rule-statistics")
-    forest, threshold = fit(stats, sample_labels(labels, id_col, label_col, max_rows), **options)
+    forest, threshold = fit(stats, marks(labels, id_col, label_col), **options)
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS[:5]) + ", base_failed boolean, kept boolean, anomaly double"
     return stats.mapInArrow(_verdicts(forest, threshold), schema).withColumn("doc_id", public_id())
 
 
-def filter_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, **options) -> DataFrame:
+def filter_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> DataFrame:
     """``df`` without the rows that ``quality`` rejects; a row's verdict needs nothing but its text."""
-    sample = sample_labels(labels, id_col, label_col, max_rows)
-    learned = documents(df, id_col, text_col).join(small(sample.select("doc_id"), max_rows), "doc_id", "left_semi")
-    forest, threshold = fit(rule_statistics(learned), sample, **options)
+    labelled = marks(labels, id_col, label_col)
+    learned = documents(df, id_col, text_col).join(labelled.select("doc_id"), "doc_id", "left_semi")
+    forest, threshold = fit(rule_statistics(learned), labelled, **options)
     return df.filter(_row_verdict(forest, threshold)(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
 
 

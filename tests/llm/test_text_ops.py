@@ -154,6 +154,20 @@ def test_quality_verdict_on_rows_it_has_not_seen(spark):
     assert same == got
 
 
+def test_quality_learns_from_all_labels(spark):
+    # the only bad rows are the last ones by the hash of their ids, of more rows than a driver would sample
+    from pyspark.sql import functions as F
+
+    ids = spark.range(20_200).toDF("doc_id")
+    last = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id").desc()).limit(100).collect()]
+    labels = ids.withColumn("quality", (~F.col("doc_id").isin(last)).cast("int"))
+    words = "transform(sequence(1, 60), i -> substr(md5(cast(doc_id * 60 + i as string)), 1, 3 + cast(pmod(hash(doc_id, i), 6) as int)))"
+    df = labels.select("doc_id", F.expr(f"concat_ws(if(quality < 1, '$$ ', ' '), {words})").alias("text"))
+    for got in (quality.quality(df, labels).filter("kept"),):
+        kept = {r.doc_id for r in got.select("doc_id").collect()}
+        assert not kept & set(last) and len(kept) >= 0.98 * 20_100
+
+
 @pytest.mark.parametrize("marks", [[(0, 1), (1, 0)], [(0, 1), (2, 1), (1, 0)], [(1, 0)], [(0, 1)]])
 def test_quality_of_few_labels(spark, marks):
     rows = [(i, " ".join(f"word{j * (i + 3)}" + "$" * (i % 2) for j in range(80))) for i in range(6)]
