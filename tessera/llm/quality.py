@@ -326,9 +326,7 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def filter_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> DataFrame:
     """``df`` without the rows that ``quality`` rejects; a row's verdict needs nothing but its text."""
-    labelled = marks(labels, id_col, label_col)
-    learned = documents(df, id_col, text_col).join(labelled.select("doc_id"), "doc_id", "left_semi")
-    forest, threshold = fit(rule_statistics(learned), labelled, **options)
+    forest, threshold = fit(rule_statistics(df, id_col, text_col), marks(labels, id_col, label_col), **options)
     return df.filter(_row_verdict(forest, threshold)(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
 
 

@@ -163,7 +163,7 @@ def test_quality_learns_from_all_labels(spark):
     labels = ids.withColumn("quality", (~F.col("doc_id").isin(last)).cast("int"))
     words = "transform(sequence(1, 60), i -> substr(md5(cast(doc_id * 60 + i as string)), 1, 3 + cast(pmod(hash(doc_id, i), 6) as int)))"
     df = labels.select("doc_id", F.expr(f"concat_ws(if(quality < 1, '$$ ', ' '), {words})").alias("text"))
-    for got in (quality.quality(df, labels).filter("kept"),):
+    for got in (quality.quality(df, labels).filter("kept"), quality.filter_quality(df, labels)):
         kept = {r.doc_id for r in got.select("doc_id").collect()}
         assert not kept & set(last) and len(kept) >= 0.98 * 20_100
 
